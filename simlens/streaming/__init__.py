@@ -1,0 +1,2 @@
+"""The analysed workload is batch only: no stream source, watermark or state exists in it,
+so no streaming operator is built (see README)."""
