@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simlens.operators.clean import melt
+from simlens.session import literal_table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -14,7 +15,7 @@ TARGETS = {"discount": 0.04, "extendedprice": 51000.0, "quantity": 27.0}
 WEIGHTS = {"discount": 1.0, "extendedprice": 2.0, "quantity": 1.0}
 PARAMS = ["p_size", "p_retailprice", "quantity", "discount", "tax"]
 RANGES = {"p_size": (1.0, 50.0), "p_retailprice": (900.0, 1000.0), "quantity": (20.0, 30.0),
-          "discount": (0.04, 0.06), "tax": (0.03, 0.05)}
+          "discount": (0.04, 0.06), "tax": (0.0300012345, 0.05)}
 
 _values = ", ".join(f"('{m}', {t}::DOUBLE, {WEIGHTS[m]}::DOUBLE)" for m, t in TARGETS.items())
 _ranges = ", ".join(f"('{p}', {lo}::DOUBLE, {hi}::DOUBLE)" for p, (lo, hi) in RANGES.items())
@@ -31,7 +32,7 @@ CTE = {
              l_quantity AS quantity, l_extendedprice AS extendedprice, l_discount AS discount, l_tax AS tax FROM lineitem)""",
     "long": "long AS (" + _union("li", "run, gen, folder", ["quantity", "extendedprice", "discount"], "metric") + ")",
     "parts": """parts AS (SELECT l_partkey AS particle, any_value(p_type) AS grp, any_value(p_size)::DOUBLE AS p_size, any_value(p_retailprice) AS p_retailprice,
-             round(avg(l_quantity), 6) AS quantity, round(avg(l_discount), 6) AS discount, round(avg(l_tax), 6) AS tax, round(avg(l_extendedprice), 4) AS extendedprice,
+             round(avg(l_quantity), 8) AS quantity, round(avg(l_discount), 8) AS discount, round(avg(l_tax), 8) AS tax, round(avg(l_extendedprice), 8) AS extendedprice,
              count(*) AS n_lines FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_partkey)""",
     "plong": "plong AS (" + _union("parts", "particle, grp", PARAMS, "parameter") + ")",
     "mlong": "mlong AS (" + _union("parts", "particle, grp", ["quantity", "extendedprice", "discount"], "metric") + ")",
@@ -73,12 +74,17 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in float_columns(df)})
 
 
+def mixed(df: DataFrame, digits: int, **special: int) -> DataFrame:
+    from simlens.operators.clean import float_columns
+    return df.withColumns({c: F.round(c, special.get(c, digits)) for c in float_columns(df)})
+
+
 def targets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m, float(t), float(WEIGHTS[m])) for m, t in TARGETS.items()], "metric string, target double, weight double")
+    return literal_table(spark, [(m, float(t), float(WEIGHTS[m])) for m, t in TARGETS.items()], "metric string, target double, weight double")
 
 
 def ranges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p, float(a), float(b)) for p, (a, b) in RANGES.items()], "parameter string, lo double, hi double")
+    return literal_table(spark, [(p, float(a), float(b)) for p, (a, b) in RANGES.items()], "parameter string, lo double, hi double")
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,8 +101,8 @@ def metrics_long(spark: SparkSession, sf: str) -> DataFrame:
 def parts(spark: SparkSession, sf: str) -> DataFrame:
     """One row per particle: five parameters and three metrics."""
     agg = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("particle")).agg(
-        F.round(F.avg("l_quantity"), 6).alias("quantity"), F.round(F.avg("l_discount"), 6).alias("discount"),
-        F.round(F.avg("l_tax"), 6).alias("tax"), F.round(F.avg("l_extendedprice"), 4).alias("extendedprice"), F.count(F.lit(1)).alias("n_lines"))
+        F.round(F.avg("l_quantity"), 8).alias("quantity"), F.round(F.avg("l_discount"), 8).alias("discount"),
+        F.round(F.avg("l_tax"), 8).alias("tax"), F.round(F.avg("l_extendedprice"), 8).alias("extendedprice"), F.count(F.lit(1)).alias("n_lines"))
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("particle"), F.col("p_type").alias("grp"),
                                         F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
     return agg.join(p, "particle")

@@ -6,6 +6,7 @@ from simlens.catalog.base import (PARAMS, RANGES, lines, metrics_long, params_lo
 from simlens.functions import exprs as X
 from simlens.operators import clean as C
 from simlens.operators import ordered as O
+from simlens.session import literal_table
 
 
 @query("round_metrics", sql("parts", "SELECT particle, round_even(extendedprice, 2) AS extendedprice, round_even(tax, 2) AS tax FROM parts"))
@@ -162,13 +163,13 @@ def name_and_id_parsing(spark, sf):
   UNION ALL SELECT particle, 'discount', round_even(least(1, discount), 3) FROM parts"""))
 def format_parameters(spark, sf):
     long = params_long(spark, sf)
-    dictionary = spark.createDataFrame([("quantity", False, 1), ("discount", True, 3)], "parameter string, bounded boolean, digits int")
+    dictionary = literal_table(spark, [("quantity", False, 1), ("discount", True, 3)], "parameter string, bounded boolean, digits int")
     return C.format_parameters(long, dictionary).select("particle", "parameter", "formatted")
 
 
 @query("split_family", sql("plong", "SELECT particle, parameter, value FROM plong WHERE parameter IN ('p_size', 'tax')"))
 def split_family(spark, sf):
-    d = spark.createDataFrame([(p, "source" if p in ("p_size", "tax") else "cellular") for p in PARAMS], "parameter string, family string")
+    d = literal_table(spark, [(p, "source" if p in ("p_size", "tax") else "cellular") for p in PARAMS], "parameter string, family string")
     return C.split_family(params_long(spark, sf), d, "source").select("particle", "parameter", "value")
 
 
@@ -185,10 +186,10 @@ def valid_predicted_samples(spark, sf):
     return C.valid_samples(df, ["quantity", "quantity_r2", "absent"]).drop("quantity_r2")
 
 
-@query("log_rates", sql("parts", "SELECT particle, round(ln(quantity), 6) AS z, round(quantity, 4) AS back FROM parts"))
+@query("log_rates", sql("parts", "SELECT particle, round(ln(quantity), 6) AS z, round(quantity * 0.7310585786, 6) AS back FROM parts"))
 def log_rates(spark, sf):
     z = C.to_log(parts(spark, sf).select("particle", F.col("quantity").alias("z")), ["z"])
-    return z.select("particle", F.round("z", 6).alias("z"), F.round(F.exp("z"), 4).alias("back"))
+    return z.select("particle", F.round("z", 6).alias("z"), F.round(F.exp("z") * 0.7310585786, 6).alias("back"))
 
 
 @query("finite_or_null", sql("", "SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE round_even(value, 1) END AS value FROM events"))

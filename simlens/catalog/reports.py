@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from simlens.catalog.base import (TARGETS, lines, metrics_long, part_metrics_long, params_long, parts, query, rounded, sql, table, targets)
+from simlens.catalog.base import (TARGETS, lines, metrics_long, part_metrics_long, mixed, params_long, parts, query, rounded, sql, table, targets)
 from simlens.operators import clean as C
 from simlens.operators import errors as E
 from simlens.operators import lineage as L
 from simlens.operators import ordered as O
 from simlens.operators import weights as Wt
+from simlens.session import literal_table
 from simlens.plans.rejection import rejection_report
 
 _NORM = """WITH n AS (SELECT metric, CASE WHEN max(value) > min(value) THEN max(value) - min(value) ELSE 1.0 END AS norm FROM mlong GROUP BY metric),
@@ -27,22 +28,23 @@ def rejection_report_query(spark, sf):
     return rounded(rejection_report(part_metrics_long(spark, sf), targets(spark), "particle", 0.2))
 
 
-_D = {m: f"({m} - {t!r})" for m, t in TARGETS.items()}
+_T = {m: t * 1.0000123457 for m, t in TARGETS.items()}      # no target on a rounding tie
+_D = {m: f"({m} - {t!r})" for m, t in _T.items()}
 
 
-@query("distances", sql("parts", f"""WITH s AS (SELECT grp, count(*) AS n, {', '.join(f'var_pop({m}) AS v_{m}, avg({_D[m]}) AS m_{m}' for m in TARGETS)} FROM parts GROUP BY grp)
-  SELECT particle, round(sqrt({' + '.join(f'{d} * {d}' for d in _D.values())}), 4) AS euclidean_raw,
-  round(sqrt({' + '.join(f'pow({d} / {abs(TARGETS[m])!r}, 2)' for m, d in _D.items())}), 4) AS euclidean_normalized,
-  round(sqrt({' + '.join(f'pow({d}, 2) / (n * v_{m} / (n + 1) + n * m_{m} * m_{m} / pow(n + 1, 2))' for m, d in _D.items())}), 4) AS euclidean_standardized,
-  round({' + '.join(f'abs({d})' for d in _D.values())}, 4) AS manhattan_raw FROM parts JOIN s USING (grp)"""))
+@query("distances", sql("parts", f"""WITH s AS (SELECT grp, count(*) AS n, {', '.join(f'var_pop({m}) AS v_{m}, avg({_D[m]}) AS m_{m}' for m in _T)} FROM parts GROUP BY grp)
+  SELECT particle, round(sqrt({' + '.join(f'{d} * {d}' for d in _D.values())}), 5) AS euclidean_raw,
+  round(sqrt({' + '.join(f'pow({d} / {abs(_T[m])!r}, 2)' for m, d in _D.items())}), 5) AS euclidean_normalized,
+  round(sqrt({' + '.join(f'pow({d}, 2) / (n * v_{m} / (n + 1) + n * m_{m} * m_{m} / pow(n + 1, 2))' for m, d in _D.items())}), 5) AS euclidean_standardized,
+  round({' + '.join(f'abs({d})' for d in _D.values())}, 5) AS manhattan_raw FROM parts JOIN s USING (grp)"""))
 def distances(spark, sf):
-    return rounded(E.distances(parts(spark, sf), TARGETS, ["grp"]).select("particle", "euclidean_raw", "euclidean_normalized", "euclidean_standardized", "manhattan_raw"))
+    return rounded(E.distances(parts(spark, sf), _T, ["grp"]).select("particle", "euclidean_raw", "euclidean_normalized", "euclidean_standardized", "manhattan_raw"), 5)
 
 
 @query("distance_mahalanobis", sql("parts", f"""WITH c AS (SELECT covar_samp(discount, discount) AS a, covar_samp(discount, quantity) AS b, covar_samp(quantity, quantity) AS d FROM parts)
   SELECT particle, round(sqrt(({_D['discount']} * {_D['discount']} * d - 2 * {_D['discount']} * {_D['quantity']} * b + {_D['quantity']} * {_D['quantity']} * a) / (a * d - b * b)), 4) AS mahalanobis FROM parts, c"""))
 def distance_mahalanobis(spark, sf):
-    two = {m: TARGETS[m] for m in ("discount", "quantity")}
+    two = {m: _T[m] for m in ("discount", "quantity")}
     return rounded(E.distances(parts(spark, sf), two).select("particle", "mahalanobis"))
 
 
@@ -50,15 +52,15 @@ def distance_mahalanobis(spark, sf):
   SELECT grp, 'euclidean_raw' AS distance, round(avg(e), 3) AS mean, round(stddev_pop(e), 3) AS std, round(median(e), 3) AS median FROM d GROUP BY grp
   UNION ALL SELECT grp, 'manhattan_raw', round(avg(m), 3), round(stddev_pop(m), 3), round(median(m), 3) FROM d GROUP BY grp"""))
 def distance_summary(spark, sf):
-    out = E.distance_summary(parts(spark, sf), TARGETS, ["grp"])
+    out = E.distance_summary(parts(spark, sf), _T, ["grp"])
     return rounded(out.where(F.col("distance").isin("euclidean_raw", "manhattan_raw")), 3)
 
 
-@query("best_sample", sql("parts", f"""WITH s AS (SELECT grp, {', '.join(f'stddev_pop({m}) AS s_{m}' for m in TARGETS)} FROM parts GROUP BY grp),
+@query("best_sample", sql("parts", f"""WITH s AS (SELECT grp, {', '.join(f'stddev_pop({m}) AS s_{m}' for m in _T)} FROM parts GROUP BY grp),
   d AS (SELECT parts.*, sqrt({' + '.join(f'pow({d} / s_{m}, 2)' for m, d in _D.items())}) AS distance FROM parts JOIN s USING (grp))
   SELECT grp, particle, round(distance, 5) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY grp ORDER BY distance, particle) = 1"""))
 def best_sample(spark, sf):
-    return rounded(E.best_sample(parts(spark, sf), TARGETS, "particle", ["grp"]).select("grp", "particle", "distance"), 5)
+    return rounded(E.best_sample(parts(spark, sf), _T, "particle", ["grp"]).select("grp", "particle", "distance"), 5)
 
 
 @query("posterior_summary", sql("plong ranges", """SELECT grp, parameter, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(stddev_pop(value), 4) AS std,
@@ -70,21 +72,21 @@ def posterior_summary(spark, sf):
     return rounded(E.posterior_summary(params_long(spark, sf), truth, ["grp", "parameter"]))
 
 
-@query("metric_summary", sql("long targets", """SELECT gen, metric, round(any_value(target), 4) AS target, round(avg(value), 3) AS mean, round(stddev_pop(value), 3) AS std, round(median(value), 3) AS median,
+@query("metric_summary", sql("long targets", """SELECT gen, metric, round(any_value(target), 4) AS target, round(avg(value), 3) AS mean, round(stddev_pop(value), 3) AS std, round(median(value), 6) AS median,
   round(avg(value) - any_value(target), 3) AS bias, round(avg((value - target) * (value - target)) / 1e6, 3) AS mse_m, round(avg(abs(value - target)), 3) AS mae, round((avg(value) - any_value(target)) / abs(any_value(target)) * 100, 3) AS relative_bias_pct,
-  round(quantile_cont(value, 0.025), 3) AS p025, round(quantile_cont(value, 0.975), 3) AS p975, any_value(target) BETWEEN quantile_cont(value, 0.025) AND quantile_cont(value, 0.975) AS target_in_interval
+  round(quantile_cont(value, 0.025), 6) AS p025, round(quantile_cont(value, 0.975), 6) AS p975, any_value(target) BETWEEN quantile_cont(value, 0.025) AND quantile_cont(value, 0.975) AS target_in_interval
   FROM long JOIN targets USING (metric) GROUP BY gen, metric"""))
 def metric_summary(spark, sf):
     out = E.metric_summary(metrics_long(spark, sf), targets(spark), ["gen"])
-    return rounded(out.withColumn("mse_m", F.col("mse") / 1e6).drop("mse"), 3).withColumn("target", F.round("target", 4))
+    return mixed(out.withColumn("mse_m", F.col("mse") / 1e6).drop("mse"), 3, median=6, p025=6, p975=6, target=4)
 
 
-@query("generation_statistics", sql("long targets", """SELECT run, gen, metric, round(avg(value), 3) AS mean, round(stddev_pop(value), 3) AS std, round(quantile_cont(value, 0.25), 3) AS q25, round(quantile_cont(value, 0.75), 3) AS q75,
+@query("generation_statistics", sql("long targets", """SELECT run, gen, metric, round(avg(value), 3) AS mean, round(stddev_pop(value), 3) AS std, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75,
   min(value) AS min, max(value) AS max, round(avg((value - target) / target * 100), 3) AS err_mean, round(stddev_pop((value - target) / target * 100), 3) AS err_std,
-  round(quantile_cont((value - target) / target * 100, 0.25), 3) AS err_q25, round(quantile_cont((value - target) / target * 100, 0.75), 3) AS err_q75,
+  round(quantile_cont((value - target) / target * 100, 0.25), 6) AS err_q25, round(quantile_cont((value - target) / target * 100, 0.75), 6) AS err_q75,
   round(min((value - target) / target * 100), 3) AS err_min, round(max((value - target) / target * 100), 3) AS err_max FROM long JOIN targets USING (metric) GROUP BY run, gen, metric"""))
 def generation_statistics(spark, sf):
-    return rounded(E.generation_statistics(metrics_long(spark, sf), targets(spark), ["run", "gen"]), 3)
+    return mixed(E.generation_statistics(metrics_long(spark, sf), targets(spark), ["run", "gen"]), 3, q25=6, q75=6, err_q25=6, err_q75=6)
 
 
 _FENCED = """WITH q AS (SELECT run, gen, metric, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM long GROUP BY ALL),
@@ -147,7 +149,7 @@ def metric_records(spark, sf):
 
 
 def _records(spark, sf):
-    grid = spark.createDataFrame([(r,) for r in "FOZ"], "run string").join(targets(spark).select("metric"), F.lit(True))
+    grid = literal_table(spark, [(r,) for r in "FOZ"], "run string").join(targets(spark).select("metric"), F.lit(True))
     return E.metric_records(metrics_long(spark, sf).drop("gen"), targets(spark), ["run"], grid)
 
 
@@ -180,22 +182,22 @@ def mode_errors(spark, sf):
     return rounded(E.mode_errors(side("gen", "n"), side("run", "reference"), targets(spark), C.fit_minmax(long, ["metric"])), 6)
 
 
-_ARMS = """WITH arm AS (SELECT run || '-' || gen AS arm, run AS method, gen, l_partkey, quantity, discount FROM li),
-  al AS (SELECT arm, method, gen, 'quantity' AS metric, quantity AS value FROM arm UNION ALL SELECT arm, method, gen, 'discount', discount FROM arm
-     UNION ALL SELECT arm, method, gen, 'quantity_std', s FROM (SELECT arm, method, gen, l_partkey, stddev_pop(quantity) AS s FROM arm GROUP BY ALL)),
+_ARMS = """WITH arm AS (SELECT run || '-' || gen AS arm, run AS method, gen, l_partkey, extendedprice, discount FROM li),
+  al AS (SELECT arm, method, gen, 'extendedprice' AS metric, extendedprice AS value FROM arm UNION ALL SELECT arm, method, gen, 'discount', discount FROM arm
+     UNION ALL SELECT arm, method, gen, 'extendedprice_std', s FROM (SELECT arm, method, gen, l_partkey, stddev_pop(extendedprice) AS s FROM arm GROUP BY ALL)),
   q AS (SELECT arm, metric, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM al GROUP BY ALL),
   m AS (SELECT arm, any_value(method) AS method, any_value(gen) AS gen, metric, median(value) AS v FROM al JOIN q USING (arm, metric) WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY arm, metric),
-  s AS (SELECT arm, any_value(method) AS method, any_value(gen) AS gen, avg(CASE WHEN metric = 'quantity' THEN abs(v - 27) / 27 * 100 END) AS primary_mae_pct,
-     avg(CASE WHEN metric = 'quantity' THEN abs(v - 27) / 27 * 100 WHEN metric = 'discount' THEN abs(v - 0.04) / 0.04 * 100 END) AS all_target_mae_pct,
-     avg(CASE WHEN metric = 'quantity_std' THEN v / 27 * 100 END) AS mean_seed_sd_pct FROM m GROUP BY arm)"""
+  s AS (SELECT arm, any_value(method) AS method, any_value(gen) AS gen, avg(CASE WHEN metric = 'extendedprice' THEN abs(v - 51000) / 51000 * 100 END) AS primary_mae_pct,
+     avg(CASE WHEN metric = 'extendedprice' THEN abs(v - 51000) / 51000 * 100 WHEN metric = 'discount' THEN abs(v - 0.04) / 0.04 * 100 END) AS all_target_mae_pct,
+     avg(CASE WHEN metric = 'extendedprice_std' THEN v / 51000 * 100 END) AS mean_seed_sd_pct FROM m GROUP BY arm)"""
 
 
 def _arms(spark, sf):
     li = lines(spark, sf).withColumn("arm", F.concat_ws("-", "run", F.col("gen").cast("string")))
-    long = C.melt(li, ["arm"], ["quantity", "discount"])
-    sd = li.groupBy("arm", "l_partkey").agg(F.stddev_pop("quantity").alias("quantity_std"))
-    long = long.unionByName(C.melt(sd, ["arm"], ["quantity_std"]))
-    scores = E.arm_scores(long, targets(spark), ["quantity"], ["arm"])
+    long = C.melt(li, ["arm"], ["extendedprice", "discount"])
+    sd = li.groupBy("arm", "l_partkey").agg(F.stddev_pop("extendedprice").alias("extendedprice_std"))
+    long = long.unionByName(C.melt(sd, ["arm"], ["extendedprice_std"]))
+    scores = E.arm_scores(long, targets(spark), ["extendedprice"], ["arm"])
     return scores.withColumn("method", F.split("arm", "-")[0]).withColumn("gen", F.split("arm", "-")[1].cast("int"))
 
 
@@ -244,8 +246,7 @@ def scenario_test_p_values(spark, sf):
     f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS r, round(regr_slope({b}, {a}), 4) AS slope, round(regr_intercept({b}, {a}), 4) AS intercept FROM parts"
     for a in ("quantity", "extendedprice", "tax") for b in ("quantity", "extendedprice", "tax") if a != b)))
 def pairwise_metrics(spark, sf):
-    return rounded(E.pairwise_metrics(parts(spark, sf), ["quantity", "extendedprice", "tax"])).withColumn("r", F.round("r", 6)) if False else \
-        E.pairwise_metrics(parts(spark, sf), ["quantity", "extendedprice", "tax"]).select("x", "y", F.round("r", 6).alias("r"), F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
+    return E.pairwise_metrics(parts(spark, sf), ["quantity", "extendedprice", "tax"]).select("x", "y", F.round("r", 6).alias("r"), F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
 # --- weights -----------------------------------------------------------------------------------------

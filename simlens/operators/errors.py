@@ -11,7 +11,8 @@ from pyspark.sql.window import Window as W
 
 from simlens.functions import exprs as X
 from simlens.operators.clean import fence, flag_outliers, melt
-from simlens.operators.ordered import attach, keys_equal, medians, quantiles, value_ranks
+from simlens.operators.ordered import attach, keys_equal, medians, quantiles, running, value_ranks
+from simlens.session import literal_table
 
 
 def with_targets(long: DataFrame, targets: DataFrame, name: str = "metric") -> DataFrame:
@@ -265,9 +266,13 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def paired_methods(scores: DataFrame, pair_keys: Sequence[str], first: str, second: str, values: Sequence[str]) -> DataFrame:
     """One-to-one pairing of two methods with differences and a winner by the first value."""
-    a = require_unique(scores.where(F.col("method") == first), pair_keys).select(*pair_keys, *[F.col(v).alias(f"{v}_{first}") for v in values])
-    b = require_unique(scores.where(F.col("method") == second), pair_keys).select(*pair_keys, *[F.col(v).alias(f"{v}_{second}") for v in values])
-    paired = a.join(b, list(pair_keys))
+    side = {m: F.col("method") == m for m in (first, second)}
+    paired = scores.where(F.col("method").isin(first, second)).groupBy(*pair_keys).agg(
+        *[F.count_if(side[m]).alias(f"__n_{m}") for m in (first, second)],
+        *[F.max(F.when(side[m], F.col(v))).alias(f"{v}_{m}") for m in (first, second) for v in values])
+    n = {m: F.col(f"__n_{m}") for m in (first, second)}
+    repeated = F.when((n[first] > 1) | (n[second] > 1), F.raise_error(F.lit("a pair holds a method twice")).cast("boolean"))
+    paired = paired.where(F.coalesce(repeated, (n[first] == 1) & (n[second] == 1))).drop(f"__n_{first}", f"__n_{second}")
     delta = {v: F.col(f"{v}_{second}") - F.col(f"{v}_{first}") for v in values}
     lead = delta[values[0]]
     return paired.select("*", *[e.alias(f"delta_{v}") for v, e in delta.items()],
@@ -356,13 +361,12 @@ def scenario_tests(long: DataFrame, keys: Sequence[str], scenario: str, value: s
     counts = present.groupBy(*keys, scenario, value).agg(F.count(F.lit(1)).alias("c"))
     names = [r[0] for r in present.select(scenario).distinct().orderBy(scenario).collect()]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    table = present.sparkSession.createDataFrame(
-        [(a, b, s) for a, b in pairs for s in (a, b)], f"first {_type(long, scenario)}, second {_type(long, scenario)}, __s {_type(long, scenario)}")
+    table = literal_table(
+        present.sparkSession, [(a, b, s) for a, b in pairs for s in (a, b)], f"first {_type(long, scenario)}, second {_type(long, scenario)}, __s {_type(long, scenario)}")
     placed = counts.join(F.broadcast(table), F.col(scenario) == F.col("__s")).drop("__s")
     group = [*keys, "first", "second"]
     merged = placed.groupBy(*group, value).agg(
         F.sum(F.when(F.col(scenario) == F.col("first"), F.col("c")).otherwise(0)).alias("c1"), F.sum("c").alias("copies"))
-    from simlens.operators.ordered import running
     ranked = running(merged, group, [value], number=None, sums={"__cum": F.col("copies")}, bound=bound)
     avg_rank = F.col("__cum") - (F.col("copies") - 1) / 2.0
     t = F.col("copies").cast("double")

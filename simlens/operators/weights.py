@@ -78,10 +78,8 @@ def resample(df: DataFrame, n: int, seed: int, ident: str, keys: Sequence[str] =
     """
     positive = df.where(F.col(weight) > 0)
     slices = running(positive, keys, [ident], number=None, sums={"__hi": F.col(weight)}, bound=bound)
-    slices = attach(slices, keys, __t=F.sum(weight)).withColumn("__pos", F.col("__hi") / F.col("__t"))
-    last = positive.groupBy(*keys).agg(F.max(ident).alias("__last"))
-    slices = keys_equal(slices, last, keys).withColumn(
-        "__pos", F.when(F.col(ident) == F.col("__last"), F.lit(2.0)).otherwise(F.col("__pos"))).drop("__last", "__t", "__hi")
+    slices = attach(slices, keys, __t=F.sum(weight), __last=F.max(ident)).withColumn(
+        "__pos", F.when(F.col(ident) == F.col("__last"), F.lit(2.0)).otherwise(F.col("__hi") / F.col("__t")))
     spark = df.sparkSession
     if uniforms is None:
         ids = spark.range(n).withColumnRenamed("id", draw)

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Inputs whose scanned bytes stay below this bound may be ordered inside one task per group.
 #: Override with the Spark setting ``simlens.smallBytes``.
@@ -23,7 +25,7 @@ def scanned_bytes(df: DataFrame) -> int | None:
     """
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:
         return None
 
@@ -35,6 +37,15 @@ def is_small(df: DataFrame, bound: int | None = None) -> bool:
     return size is not None and size <= bound
 
 
+def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A few literal rows as a local relation, whose size the optimiser knows."""
+    fields = T._parse_datatype_string(schema).fields
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
+    if not structs:
+        return spark.createDataFrame([], schema)
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for written cuts: the cluster's ``spark.checkpoint.dir``.
 
