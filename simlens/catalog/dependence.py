@@ -28,9 +28,9 @@ def spearman(spark, sf):
     return rounded(D.spearman(parts(spark, sf), ["particle"], _P, _M), 6)
 
 
-@query("correlation_matrix", sql("parts", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_pop({a}, {b}), 7) AS cov, round(corr({a}, {b}), 6) AS r FROM parts" for a in PARAMS for b in PARAMS)))
+@query("correlation_matrix", sql("parts", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_pop({a}, {b}) * 0.7310585786, 6) AS cov, round(corr({a}, {b}), 6) AS r FROM parts" for a in PARAMS for b in PARAMS)))
 def correlation_matrix(spark, sf):
-    return mixed(D.correlation_matrix(parts(spark, sf), PARAMS), 6, cov=7)
+    return rounded(D.correlation_matrix(parts(spark, sf), PARAMS).withColumn("cov", F.col("cov") * 0.7310585786), 6)
 
 
 @query("pair_r2", sql("parts", " UNION ALL ".join(f"SELECT grp, '{a}' AS a, '{b}' AS b, round(regr_r2({b}, {a}), 6) AS r2 FROM parts GROUP BY grp" for i, a in enumerate(PARAMS) for b in PARAMS[i + 1:])))

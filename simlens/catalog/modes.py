@@ -160,13 +160,13 @@ def plain_components(spark, sf):
     return rounded(M.project(p, model, cols, components=1).select("particle", "pc1"), 5)
 
 
-@query("component_round_trip", sql("parts", "SELECT particle, round(quantity, 5) AS quantity, round(tax, 6) AS tax FROM parts"))
+@query("component_round_trip", sql("parts", "SELECT particle, round(quantity, 8) AS quantity, round(tax, 8) AS tax FROM parts"))
 def component_round_trip(spark, sf):
     p = parts(spark, sf)
     cols = ["quantity", "tax"]
     model = M.fit_pca(p, cols, ["grp"])
     points = M.project(p, model, cols, ["grp"]).select("particle", "grp", "pc1", "pc2")
-    return mixed(M.invert(points, model, cols, ["grp"]).select("particle", "quantity", "tax"), 5, tax=6)
+    return mixed(M.invert(points, model, cols, ["grp"]).select("particle", "quantity", "tax"), 8)
 
 
 @query("posterior_peaks")
@@ -194,7 +194,7 @@ def leave_one_out(spark, sf):
     p = parts(spark, sf)
     sd = p.agg(F.stddev_samp("quantity").alias("s1"), F.stddev_samp("p_size").alias("s2"))
     z = p.join(F.broadcast(sd), F.lit(True)).select("particle", (F.col("quantity") / F.col("s1")).alias("z1"), (F.col("p_size") / F.col("s2")).alias("z2"))
-    return rounded(M.leave_one_out(z, "particle", _FACTORS, block=512), 6)
+    return rounded(M.leave_one_out(z, "particle", _FACTORS), 6)
 
 
 @query("bandwidth_sweep")

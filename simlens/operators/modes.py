@@ -336,20 +336,12 @@ def whiten(df: DataFrame, coords: Sequence[str], keys: Sequence[str] = (), weigh
 
 def leave_one_out(df: DataFrame, ident: str, factors: Sequence[float], keys: Sequence[str] = (), weight: str | None = None,
                   coords: Sequence[str] = ("z1", "z2"), block: int = N.BLOCK, bound: int | None = None) -> DataFrame:
-    """(keys, factor, score): weighted mean log density of each point under the density of all others.
-
-    Terms farther than the nearest neighbour by sqrt(2 f² (ln N + 45)) add less than 1e-19 of the sum and are not visited.
-    """
+    """(keys, factor, score): weighted mean log density of each point under the density of all others."""
     dims = len(coords)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    total = df.groupBy(*keys).agg(F.sum(w).alias("__t"), F.count(F.lit(1)).alias("__n"), F.min(F.when(w > 0, w)).alias("__wmin"), F.max(w).alias("__wmax"))
-    data = keys_equal(df.select(*keys, ident, *coords, w.alias("__w0")), total, keys)
-    data = data.withColumn("__w", F.col("__w0") / F.col("__t")).where(F.col("__w") > 0)
-    near = N.kth_distance(data, keys, coords, ident, 1, "euclidean", block, bound)
-    placed = keys_equal(data, near, [*keys, ident])
-    span = 2 * max(factors) ** 2 * (F.ln(F.col("__n").cast("double")) + F.ln(F.col("__wmax") / F.col("__wmin")) + 45)
-    placed = placed.withColumn("reach", F.sqrt(F.pow("radius", F.lit(2.0)) + span)).withColumn("__lw", F.ln("__w"))
-    sums = N.log_kernel_sums(placed, keys, coords, ident, factors, "__lw", "reach", True, block=block, bound=bound)
+    data = keys_equal(df.select(*keys, ident, *coords, w.alias("__w0")), df.groupBy(*keys).agg(F.sum(w).alias("__t")), keys)
+    placed = data.withColumn("__w", F.col("__w0") / F.col("__t")).where(F.col("__w") > 0).withColumn("__lw", F.ln("__w"))
+    sums = N.log_kernel_sums(placed, keys, coords, ident, factors, "__lw", block=block, bound=bound)
     j = keys_equal(placed.select(*keys, ident, "__w"), sums, [*keys, ident])
     cells = F.array(*[F.struct(F.lit(float(f)).alias("factor"), (
         F.element_at("log_sums", i + 1) - dims * math.log(f) - 0.5 * dims * math.log(2 * math.pi) - F.log1p(-F.col("__w"))).alias("log_density")) for i, f in enumerate(factors)])

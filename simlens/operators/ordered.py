@@ -83,15 +83,15 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], number: st
             out = out.withColumn(name, F.sum(e).over(w.rowsBetween(W.unboundedPreceding, 0)))
         return out
     split = _ranges(df, keys, order, range_rows)
-    offsets = _offsets(split, keys, {"__c": F.lit(1), **{f"__o_{n}": e for n, e in sums.items()}})
+    offsets = _offsets(split, keys, {"__run_n": F.lit(1), **{f"__run_s_{n}": e for n, e in sums.items()}})
     joined = keys_equal(split, offsets, [*keys, "__range"])
     w = W.partitionBy(*keys, "__range").orderBy(*order)
     out = joined
     if number:
-        out = out.withColumn(number, F.row_number().over(w).cast("bigint") + F.col("__c"))
+        out = out.withColumn(number, F.row_number().over(w).cast("bigint") + F.col("__run_n"))
     for name, e in sums.items():
-        out = out.withColumn(name, F.sum(e).over(w.rowsBetween(W.unboundedPreceding, 0)) + F.col(f"__o_{name}"))
-    return out.drop("__range", "__c", *[f"__o_{n}" for n in sums])
+        out = out.withColumn(name, F.sum(e).over(w.rowsBetween(W.unboundedPreceding, 0)) + F.col(f"__run_s_{name}"))
+    return out.drop("__range", "__run_n", *[f"__run_s_{n}" for n in sums])
 
 
 def _offsets(split: DataFrame, keys: Sequence[str], sums: dict[str, Column]) -> DataFrame:
