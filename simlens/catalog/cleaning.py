@@ -114,11 +114,11 @@ def prior_range_units(spark, sf):
     return rounded(out.select("particle", "parameter", "unit"), 6)
 
 
-@query("frozen_zscore", sql("mlong", """WITH f AS (SELECT metric, avg(value) AS mu, stddev_pop(value) AS sd FROM mlong WHERE particle % 2 = 0 GROUP BY metric)
+@query("frozen_zscore", sql("mlong", """WITH f AS (SELECT metric, avg(value) AS mu, stddev_pop(value) AS sd FROM mlong WHERE grp = 'SMALL' GROUP BY metric)
   SELECT particle, metric, round((value - mu) / sd, 4) AS z FROM mlong JOIN f USING (metric)"""))
 def frozen_zscore(spark, sf):
     long = part_metrics_long(spark, sf)
-    scaler = C.fit_scaler(long.where(F.col("particle") % 2 == 0), ["metric"])
+    scaler = C.fit_scaler(long.where("grp = 'SMALL'"), ["metric"])
     return rounded(C.apply_scaler(long, scaler, ["metric"]).select("particle", "metric", "z"))
 
 

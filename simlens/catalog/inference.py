@@ -132,7 +132,7 @@ def density_samples(spark, sf):
     return S.from_densities(parts(spark, sf), ["quantity", "tax"], 1000, 9, "particle")
 
 
-_IW = """WITH prev AS (SELECT * FROM parts WHERE particle % 2 = 0), cur AS (SELECT * FROM parts WHERE particle % 2 = 1), t AS (SELECT sum(n_lines) AS t FROM prev),
+_IW = """WITH prev AS (SELECT * FROM parts WHERE grp < 'M'), cur AS (SELECT * FROM parts WHERE grp >= 'M'), t AS (SELECT sum(n_lines) AS t FROM prev),
   k AS (SELECT c.particle, ln(p.n_lines / t) - 0.5 * (pow((c.quantity - p.quantity) / 1.0, 2) + pow((c.tax - p.tax) / 0.002, 2)) - ln(1.0 * sqrt(2 * pi())) - ln(0.002 * sqrt(2 * pi())) - ln(9) AS e FROM cur c JOIN prev p ON abs(c.p_size - p.p_size) <= 4, t),
   m AS (SELECT particle, max(e) AS m FROM k GROUP BY particle), l AS (SELECT k.particle, any_value(m) + ln(sum(exp(e - m))) AS l FROM k JOIN m USING (particle) GROUP BY k.particle)
   SELECT particle, round(l, 6) AS log_denominator FROM l"""
@@ -141,8 +141,8 @@ _IW = """WITH prev AS (SELECT * FROM parts WHERE particle % 2 = 0), cur AS (SELE
 @query("importance_weights", sql("parts", _IW))
 def importance_weights(spark, sf):
     p = parts(spark, sf).withColumn("weight", F.col("n_lines").cast("double"))
-    prev, cur = p.where(F.col("particle") % 2 == 0), p.where(F.col("particle") % 2 == 1)
-    out = smc.importance_weights(cur, prev, {"quantity": (20.0, 30.0), "tax": (0.03, 0.05)}, 0.1, spacings=["p_size"], block=512)
+    prev, cur = p.where("grp < 'M'"), p.where("grp >= 'M'")
+    out = smc.importance_weights(cur, prev, {"quantity": (20.0, 30.0), "tax": (0.03, 0.05)}, 0.1, spacings=["p_size"])
     return rounded(out.select("particle", "log_denominator"), 6)
 
 

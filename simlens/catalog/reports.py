@@ -271,11 +271,11 @@ def normalised_log_weights(spark, sf):
     return rounded(out.select("particle", "weight"), 8)
 
 
-@query("aligned_weights", sql("parts", """WITH w AS (SELECT particle, CASE WHEN particle % 3 = 0 THEN n_lines ELSE 0 END::DOUBLE AS w, grp FROM parts)
+@query("aligned_weights", sql("parts", """WITH w AS (SELECT particle, CASE WHEN p_size <= 15 THEN n_lines ELSE 0 END::DOUBLE AS w, grp FROM parts)
   SELECT particle, round(w / sum(w) OVER (PARTITION BY grp), 8) AS weight FROM w"""))
 def aligned_weights(spark, sf):
     p = parts(spark, sf)
-    w = p.where(F.col("particle") % 3 == 0).select("particle", F.col("n_lines").cast("double").alias("weight"))
+    w = p.where("p_size <= 15").select("particle", F.col("n_lines").cast("double").alias("weight"))
     return rounded(Wt.align(p.select("particle", "grp"), w, ["particle"], ["grp"]).select("particle", "weight"), 8)
 
 

@@ -45,7 +45,8 @@ def readable(df: DataFrame) -> DataFrame:
 
 
 def unreadable_folders(df: DataFrame) -> DataFrame:
-    return df.where(F.col("_corrupt_record").isNotNull()).select("folder", "seed", "t_min").distinct()
+    # the parser must see a data column next to the raw record
+    return df.where(F.col("_corrupt_record").isNotNull() & F.col(df.columns[0]).isNull()).select("folder", "seed", "t_min").distinct()
 
 
 def manifest(spark: SparkSession, root: str, kind: str = "CELLS") -> DataFrame:
