@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simlens.operators import clean, colony
 from simlens.operators.ordered import keys_equal
+from simlens.session import cut
+from simlens.sources import snapshots
 
 FINAL = ["vol", "age", "cycle_length", "n_cells", "symmetry", "shannon", "colony_diameter", "act_ratio", "activity",
          "doub_time", "colony_growth", "colony_growth_r"]
@@ -40,6 +42,17 @@ def temporal(at_times: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return colony.over_seeds(at_times, AT_TIME, [*extra, "folder", "t_min"])
 
 
+def campaign(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Every folder below a root: the small files are parsed once and compacted, later steps read the compact tables."""
+    cells, locations = snapshots.cells(spark, root), snapshots.locations(spark, root)
+    compact = cut(snapshots.readable(cells).select(*colony.KEYS, "state", "volume", "age", "cycles"))
+    places = cut(colony.with_hex(snapshots.readable(locations)).select(*colony.KEYS, "u", "v", "w"))
+    times = cut(per_time(compact, places))
+    seeds = cut(per_seed(times))
+    return {"times": times, "seeds": seeds, "final": per_parameter_set(seeds), "temporal": temporal(times),
+            "unpaired": colony.unpaired(compact.select(*colony.KEYS).distinct(), places.select(*colony.KEYS).distinct())}
+
+
 def ordered_columns(df: DataFrame, last: list[str]) -> DataFrame:
     tail = [c for c in (*last, "states") if c in df.columns]
     return df.select(*sorted(c for c in df.columns if c not in tail), *tail)

@@ -41,7 +41,7 @@ def locations(spark: SparkSession, root: str, t_min: int | None = None) -> DataF
 
 
 def readable(df: DataFrame) -> DataFrame:
-    return df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return df.where(F.col("_corrupt_record").isNull() & F.col(df.columns[0]).isNotNull()).drop("_corrupt_record")
 
 
 def unreadable_folders(df: DataFrame) -> DataFrame:

@@ -35,11 +35,9 @@ def campaign(tmp_path_factory):
 
 
 def test_reduction_end_to_end(spark, campaign):
-    cells, locs = snapshots.cells(spark, campaign), snapshots.locations(spark, campaign)
-    assert [(r.folder, r.seed) for r in snapshots.unreadable_folders(cells).collect()] == [("input_2", 9)]
-    times = reduction.per_time(snapshots.readable(cells), snapshots.readable(locs))
-    seeds = reduction.per_seed(times)
-    out = {r.folder: r for r in reduction.per_parameter_set(seeds).collect()}
+    assert [(r.folder, r.seed) for r in snapshots.unreadable_folders(snapshots.cells(spark, campaign)).collect()] == [("input_2", 9)]
+    done = reduction.campaign(spark, campaign)
+    out = {r.folder: r for r in done["final"].collect()}
     assert set(out) == {"input_1", "input_2"}
     a, b = out["input_1"], out["input_2"]
     assert a.symmetry == 1.0 and b.symmetry == 0.0
@@ -47,7 +45,7 @@ def test_reduction_end_to_end(spark, campaign):
     assert a.colony_diameter == 90.0 and a.cycle_length == 3.0 and a.activity == 0.0
     assert a.states["NECROTIC"] == 4 and a.states["SENESCENT"] == 0
     assert math.isclose(a.shannon, round(math.log(2), 3))
-    assert reduction.temporal(times).count() == 6
+    assert done["temporal"].count() == 6 and done["seeds"].count() == 6 and done["unpaired"].count() == 0
     assert snapshots.cells(spark, campaign, 1440).select("t_min").distinct().count() == 1
     assert K.complete_particles(snapshots.manifest(spark, campaign), 2, 2880).count() == 2
 
