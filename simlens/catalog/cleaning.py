@@ -108,10 +108,10 @@ def out_of_box(spark, sf):
     return C.out_of_box(parts(spark, sf), ["grp"], RANGES)
 
 
-@query("prior_range_units", sql("plong ranges", "SELECT particle, parameter, round(greatest(-0.05, least(1.05, (value - lo) / (hi - lo))), 6) AS unit FROM plong JOIN ranges USING (parameter)"))
+@query("prior_range_units", sql("plong ranges", "SELECT particle, parameter, round(greatest(-0.05, least(1.05, (value - lo) / (hi - lo))) * 0.7310585786, 6) AS unit FROM plong JOIN ranges USING (parameter)"))
 def prior_range_units(spark, sf):
     out = C.to_prior_range(params_long(spark, sf), ranges(spark), clip=(-0.05, 1.05))
-    return rounded(out.select("particle", "parameter", "unit"), 6)
+    return rounded(out.select("particle", "parameter", (F.col("unit") * 0.7310585786).alias("unit")), 6)
 
 
 @query("frozen_zscore", sql("mlong", """WITH f AS (SELECT metric, avg(value) AS mu, stddev_pop(value) AS sd FROM mlong WHERE grp = 'SMALL' GROUP BY metric)
