@@ -44,15 +44,15 @@ def valid_seeds(spark, sf):
 _BOUNDS = """WITH q AS (SELECT run, gen, metric, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(value) AS n FROM long GROUP BY ALL)"""
 
 
-@query("fence_long", sql("long", _BOUNDS + """ SELECT run, gen, metric, count(*) AS n, round(sum(value) / 1000, 3) AS total FROM long JOIN q USING (run, gen, metric)
+@query("fence_long", sql("long", _BOUNDS + """ SELECT run, gen, metric, count(*) AS n, round(sum(value) / 1000, 5) AS total FROM long JOIN q USING (run, gen, metric)
   WHERE NOT (value < q1 - 0.5 * (q3 - q1) OR value > q3 + 0.5 * (q3 - q1)) GROUP BY ALL"""))
 def fence_long(spark, sf):
     kept = C.fence(metrics_long(spark, sf), ["run", "gen", "metric"], multiplier=0.5)
-    return kept.groupBy("run", "gen", "metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value") / 1000, 3).alias("total"))
+    return kept.groupBy("run", "gen", "metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value") / 1000, 5).alias("total"))
 
 
-@query("fence_guarded", sql("long", _BOUNDS + """ SELECT run, gen, metric, count(*) AS n, count_if(n >= 4 AND q3 > q1 AND (value < q1 - 0.4 * (q3 - q1) OR value > q3 + 0.4 * (q3 - q1)))::BIGINT AS outside
-  FROM long JOIN q USING (run, gen, metric) GROUP BY ALL""").replace("count(*) AS n, count_if(n >=", "count(*) AS rows, count_if(n >="))
+@query("fence_guarded", sql("long", _BOUNDS + """ SELECT run, gen, metric, count(*) AS rows, count_if(n >= 4 AND q3 > q1 AND (value < q1 - 0.4 * (q3 - q1) OR value > q3 + 0.4 * (q3 - q1)))::BIGINT AS outside
+  FROM long JOIN q USING (run, gen, metric) GROUP BY ALL"""))
 def fence_guarded(spark, sf):
     flagged = C.flag_outliers(metrics_long(spark, sf), ["run", "gen", "metric"], multiplier=0.4, min_n=4, guard_iqr=True)
     return flagged.groupBy("run", "gen", "metric").agg(F.count(F.lit(1)).alias("rows"), F.count_if("outside").alias("outside"))
@@ -173,11 +173,11 @@ def split_family(spark, sf):
     return C.split_family(params_long(spark, sf), d, "source").select("particle", "parameter", "value")
 
 
-@query("wide_to_long", sql("li", """SELECT run, metric, count(*) AS n, round(sum(value) / 1000, 3) AS total FROM (
+@query("wide_to_long", sql("li", """SELECT run, metric, count(*) AS n, round(sum(value) / 1000, 5) AS total FROM (
   SELECT run, 'quantity' AS metric, quantity AS value FROM li UNION ALL SELECT run, 'tax', tax FROM li) GROUP BY ALL"""))
 def wide_to_long(spark, sf):
     long = C.melt(lines(spark, sf), ["run"], ["quantity", "tax"])
-    return long.groupBy("run", "metric").agg(F.count("value").alias("n"), F.round(F.sum("value") / 1000, 3).alias("total"))
+    return long.groupBy("run", "metric").agg(F.count("value").alias("n"), F.round(F.sum("value") / 1000, 5).alias("total"))
 
 
 @query("valid_predicted_samples", sql("parts", "SELECT particle, quantity - 25 AS quantity FROM parts WHERE quantity - 25 >= 0"))

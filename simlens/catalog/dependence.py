@@ -76,8 +76,8 @@ def peak_ridge(spark, sf):
 
 @query("correlation_ratio", sql("parts", """WITH x AS (SELECT 'tax' AS parameter, tax AS x, quantity, extendedprice FROM parts UNION ALL SELECT 'p_size', p_size, quantity, extendedprice FROM parts UNION ALL SELECT 'seven', particle % 7, quantity, extendedprice FROM parts),
   s AS (SELECT parameter, min(x) AS lo, max(x) AS hi, least(10, count(DISTINCT x)) AS k, var_pop(quantity) AS tq, var_pop(extendedprice) AS te, count(*) AS n FROM x GROUP BY parameter),
-  b AS (SELECT parameter, least(floor((x - lo) / (hi - lo) * k), k - 1) AS bin, any_value(tq) AS tq, any_value(te) AS te, any_value(n) AS n, count(*) * var_pop(quantity) AS wq, count(*) * var_pop(extendedprice) AS we FROM x JOIN s USING (parameter) GROUP BY ALL)
-  SELECT parameter, 'quantity' AS metric, round((any_value(tq) - sum(wq) / any_value(n)) / any_value(tq), 6) AS share FROM b GROUP BY parameter UNION ALL SELECT parameter, 'extendedprice', round((any_value(te) - sum(we) / any_value(n)) / any_value(te), 6) FROM b GROUP BY parameter""".replace("GROUP BY ALL)\n", "GROUP BY parameter, bin)\n")))
+  b AS (SELECT parameter, least(floor((x - lo) / (hi - lo) * k), k - 1) AS bin, any_value(tq) AS tq, any_value(te) AS te, any_value(n) AS n, count(*) * var_pop(quantity) AS wq, count(*) * var_pop(extendedprice) AS we FROM x JOIN s USING (parameter) GROUP BY parameter, bin)
+  SELECT parameter, 'quantity' AS metric, round((any_value(tq) - sum(wq) / any_value(n)) / any_value(tq), 6) AS share FROM b GROUP BY parameter UNION ALL SELECT parameter, 'extendedprice', round((any_value(te) - sum(we) / any_value(n)) / any_value(te), 6) FROM b GROUP BY parameter"""))
 def correlation_ratio(spark, sf):
     p = parts(spark, sf).withColumn("seven", (F.col("particle") % 7).cast("double"))
     return rounded(D.correlation_ratio(p, ["tax", "p_size", "seven"], ["quantity", "extendedprice"]), 6)

@@ -18,7 +18,6 @@ _C = "cl AS (SELECT particle, grp, quantity AS pc1, extendedprice / 5000 AS pc2,
 _KDE = _C + """, s AS (SELECT count(*) AS n, min(pc1) - 1 AS x0, max(pc1) + 1 AS x1, min(pc2) - 0.5 AS y0, max(pc2) + 0.5 AS y1, covar_samp(pc1, pc1) * pow(count(*), -1 / 3.0::DOUBLE) AS a, covar_samp(pc1, pc2) * pow(count(*), -1 / 3.0::DOUBLE) AS b, covar_samp(pc2, pc2) * pow(count(*), -1 / 3.0::DOUBLE) AS d FROM cl),
   g AS (SELECT ix::INTEGER AS ix, iy::INTEGER AS iy, x0 + (x1 - x0) / 19 * ix AS x, y0 + (y1 - y0) / 19 * iy AS y, s.* FROM s, range(0, 20) i(ix), range(0, 20) j(iy)),
   k AS (SELECT ix, iy, any_value(x) AS x, any_value(y) AS y, sum(exp(-0.5 * ((x - pc1) * (x - pc1) * d - 2 * (x - pc1) * (y - pc2) * b + (y - pc2) * (y - pc2) * a) / (a * d - b * b))) / any_value(n * 2 * pi() * sqrt(a * d - b * b)) AS density FROM g, cl GROUP BY ix, iy)"""
-_KDE = _KDE.replace("pow(count(*), -1 / 3.0::DOUBLE)", "pow(count(*), -1 / 3.0::DOUBLE)")
 
 
 def _density(spark, sf):

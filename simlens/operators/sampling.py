@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simlens.functions import exprs as X
+from simlens.operators.clean import valid_samples
 from simlens.operators.ordered import keys_equal, running
+from simlens.operators.reduce import apply_models
 from simlens.operators.weights import resample
+from simlens.session import cut
 
 BITS = 30
 
@@ -299,3 +302,22 @@ def predictive_error(df: DataFrame, targets: dict[str, float], n: int, seed: int
         drawn = drawn.where(X.finite(m).isNotNull())
     rel = sum((F.abs(F.col(m) - float(t)) / abs(float(t)) for m, t in targets.items()), F.lit(0.0)) / len(targets)
     return drawn.groupBy(*keys).agg(F.avg(rel).alias("statistic_error"), F.count(F.lit(1)).alias("n_used"))
+
+
+def chain_samples(spark: SparkSession, n: int, specs: dict, models: Sequence[tuple[str, str, float, float]], ranged: Sequence[str], seed: int,
+                  ident: str = "particle", most: int = 4096) -> DataFrame:
+    """n complete samples: independent and root parameters from a design, derived ones predicted, invalid rows passed over.
+
+    When too few points are valid the design is doubled; its first points stay the same, so the result does not change.
+    """
+    points = 2 * n
+    while True:
+        design = sobol_design(spark, points, specs, seed, "__i")
+        valid = cut(valid_samples(apply_models(design, models), ranged))
+        if valid.count() >= n:
+            break
+        points *= 2
+        if points > most * n:
+            raise RuntimeError("almost no predicted sample is valid")
+    kept = running(valid, [], ["__i"], ident).where(F.col(ident) <= n)
+    return kept.drop("__i")

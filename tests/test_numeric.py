@@ -212,3 +212,22 @@ def test_permutations_keep_group_sizes(cloud):
     counts = dealt.groupBy("permutation", "g").count().collect()
     assert len(counts) == 12 and {r["count"] for r in counts} == {80}
     assert dealt.groupBy("permutation").agg(F.count_distinct("id").alias("n")).where("n <> 240").count() == 0
+
+
+def test_chain_samples_are_complete_and_valid(spark):
+    out = S.chain_samples(spark, 40, {"a": (0.0, 1.0)}, [("b", "a", 2.0, -0.5), ("c", "b", 1.0, 0.1)], ["a", "b"], 3).toPandas()
+    assert len(out) == 40 and (out.b >= 0).all() and sorted(out.particle) == list(range(1, 41))
+    assert np.allclose(out.b, 2 * out.a - 0.5) and np.allclose(out.c, out.b + 0.1)
+
+
+def test_source_layouts(spark):
+    units = S.sobol(spark.range(16), "id", ["X_SPACING", "Y_SPACING", "GLUCOSE_CONCENTRATION"])
+    specs = {"X_SPACING": (2, 9), "Y_SPACING": (2, 9), "GLUCOSE_CONCENTRATION": (0.1, 0.5)}
+    grid = S.source_sites(units, specs, 10, 30.0, False).toPandas()
+    x, y = (grid[c].str.split(":").str[1].astype(int) for c in ("X_SPACING", "Y_SPACING"))
+    assert (x <= y).all() and grid.GLUCOSE_CONCENTRATION.between(0.1, 0.5).all()
+    want = (57 // x) * (38 // y) / (29 * 30.0 * 38 * 30 * 1e-6)
+    assert np.allclose(grid.CAPILLARY_DENSITY, want)
+    point = S.source_sites(units, specs, 10, 30.0, True).toPandas()
+    assert set(point.X_SPACING) == {"27:29"} and (point.DISTANCE_TO_CENTER >= 0).all()
+    assert S.percentage_grid(spark, {"a": 2.0, "b": 3.0}).count() == 121
