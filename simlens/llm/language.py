@@ -66,7 +66,7 @@ class LetterSpace:
         symbols = self._symbols(text)
         if not symbols.any():
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        symbols = np.concatenate([[0] * (symbols[0] != 0), symbols, [0] * (symbols[-1] != 0)]).astype(np.int64)
+        symbols = np.concatenate([[0] * int(symbols[0] != 0), symbols, [0] * int(symbols[-1] != 0)]).astype(np.int64)
         m = len(symbols) - self.n + 1
         code = np.zeros(max(m, 0), np.int64)
         for place in range(self.n):

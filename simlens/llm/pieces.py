@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from simlens.llm.common import arrow_rows
+from simlens.llm.common import arrow_rows, worker_state
 
 MARK = "▁"
 #: Fixed values of the model format: kinds of piece, kinds of model.
@@ -127,7 +127,13 @@ class PieceCodec:
         self.own = sentencepiece.SentencePieceProcessor(model_file=path)
         self.whole = self.model.tokenizer()
         self.by_runs = self.model.runs_are_safe()
-        self.runs = self.model.tokenizer(prefix=False) if self.by_runs else None
+        self.run = self.model.tokenizer(prefix=False)
+        self.runs = self.model.tokenizer(prefix=False)
+        if self.by_runs:
+            from tokenizers import pre_tokenizers
+
+            self.runs.pre_tokenizer = pre_tokenizers.Metaspace(replacement=MARK, prepend_scheme="never", split=True)
+        self.starts = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         self.table, self.threads, self.limit = self.model.piece_bytes(), threads, limit
         self.young, self.old, self.odd = {}, {}, set()
 
@@ -135,14 +141,25 @@ class PieceCodec:
         return [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, keys: list[str]) -> None:
+        """Encode new runs: runs of one marker go through the libraries many at a time, cut where a piece begins with the marker."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        for at in range(0, len(keys), 20_000):
-            part = keys[at:at + 20_000]
-            for key, made, own in zip(part, self.runs.encode_batch_fast([MARK + k for k in part], add_special_tokens=False), self.own.encode(part, num_threads=self.threads)):
-                if key and made.ids != own:
-                    self.odd.add(key)
-                self.young[key] = np.array(made.ids, "<i4").tobytes()
+        single = [k for k in keys if k and k[0] != MARK]
+        others = [k for k in keys if not k or k[0] == MARK]
+        groups = [single[at:at + 200] for at in range(0, len(single), 200)]
+        coded = self.runs.encode_batch_fast([MARK + MARK.join(g) for g in groups], add_special_tokens=False)
+        for group, made, own in zip(groups, coded, self.own.encode([" ".join(g) for g in groups], num_threads=self.threads)):
+            ids = np.array(made.ids, "<i4")
+            cuts = np.flatnonzero(self.starts[ids])
+            if made.ids != own or len(cuts) != len(group):
+                others += group
+                continue
+            ids, edges = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
+            self.young.update(zip(group, [ids[a:b] for a, b in zip(edges, edges[1:])]))
+        for key, made, own in zip(others, self.run.encode_batch_fast([MARK + k for k in others], add_special_tokens=False), self.own.encode(others, num_threads=self.threads)):
+            if key and made.ids != own:
+                self.odd.add(key)
+            self.young[key] = np.array(made.ids, "<i4").tobytes()
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether both libraries agree on them."""
@@ -150,9 +167,9 @@ class PieceCodec:
             made, own = self._whole(texts), self.own.encode(texts, num_threads=self.threads)
             return [np.array(m, "<i4") for m in made], [m == o for m, o in zip(made, own)]
         out, same = [], []
-        for at in range(0, len(texts), 64):
+        for at in range(0, len(texts), 256):
             split = []
-            for text in texts[at:at + 64]:
+            for text in texts[at:at + 256]:
                 marked = text.replace(" ", MARK)
                 if MARK + MARK in marked or marked.startswith(MARK):
                     split.append([run[1:] for run in re.findall(f"{MARK}+[^{MARK}]*", MARK + marked)])
@@ -190,7 +207,7 @@ class PieceCodec:
 def encode_documents(docs: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
     """doc_id, ids, n_tokens, ids_crc32 (of unsigned 32-bit ids), decoded_sha256, round_trip, parity for each row of ``docs``."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        codec = PieceCodec(model_path, threads)
+        codec = worker_state(f"{model_path} {threads}", lambda: PieceCodec(model_path, threads))
         for columns in batches:
             names, texts = columns["doc_id"].to_pylist(), columns["text"].to_pylist()
             for at in range(0, len(texts), 512):
