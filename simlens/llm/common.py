@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from simlens.session import checkpoint_root, cut
 
-__all__ = ["BLOCK", "arrow_rows", "blocks", "cut", "held_out", "held_out_id", "mix", "open_shared", "read_table", "shared_folder", "Words", "words_of"]
+__all__ = ["BLOCK", "arrow_rows", "blocks", "cut", "held_out", "held_out_id", "mix", "open_shared", "read_table", "shared_folder", "Words", "worker_state", "words_of"]
 
 #: Bytes of text that a vectorised kernel handles at once; bounds the memory of a task whatever the batch holds.
 BLOCK = 1 << 20
@@ -37,6 +38,14 @@ def open_shared(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def worker_state(key: str, make: Callable):
+    """An object that the tasks of one Python worker share, such as a loaded vocabulary; results must not depend on it."""
+    kept = sys.__dict__.setdefault("_simlens_worker", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def held_out(ident: Column) -> Column:
     """True where crc32 of the id as text is divisible by 5; a null id counts as held out."""
     return F.coalesce(F.crc32(ident.cast("string")) % 5 == 0, F.lit(True))

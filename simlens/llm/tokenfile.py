@@ -24,12 +24,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from simlens.llm.common import arrow_rows, open_shared
+from simlens.llm.common import arrow_rows, open_shared, worker_state
 
 MAGIC = b"SLTOKEF1"
 HEADER = "<QQBQq"
 EF_HEADER = "<QQBQ"
 SAMPLE = 256
+PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 class EliasFano:
@@ -98,8 +99,8 @@ class ChunkEncoder:
     """Encodes texts with a tokenizer that drops white space, one white-space-free chunk at a time.
 
     Such a tokenizer never joins characters across white space, so a text's ids are its chunks' ids in
-    order. Each distinct chunk is encoded by the library once and kept; two generations bound the
-    memory. The first text of every call is also encoded whole and compared.
+    order. Each distinct chunk is encoded by the library once and kept while the worker lives; two
+    generations bound the memory. The first text of every call is also encoded whole and compared.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -108,21 +109,58 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A\u00c9") == "a\u00e9"
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.limit, self.young, self.old = limit, {}, {}
 
+    def _library(self, words: list[str]) -> None:
+        """Encode new chunks. Chunks of letters alone are single words, so many are encoded in one call and told apart by the ids that end words."""
+        letters = [w for w in words if w.isalpha()] if self.ends is not None else []
+        others = [w for w in words if not w.isalpha()] if letters else words
+        groups = [letters[at:at + 500] for at in range(0, len(letters), 500)]
+        for group, made in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(made.ids, self.dtype)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(group):
+                others += group
+                continue
+            ids, edges = ids.tobytes(), [0, *(cuts * self.dtype.itemsize).tolist()]
+            self.young.update(zip(group, [ids[a:b] for a, b in zip(edges, edges[1:])]))
+        for at in range(0, len(others), 20_000):
+            part = others[at:at + 20_000]
+            for chunk, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.young[chunk] = np.array(made.ids, self.dtype).tobytes()
+
     def _learn(self, chunks: list[str]) -> None:
+        """Chunks are taken apart into a lower-case stem and a final mark where that cannot change the ids."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        for start in range(0, len(chunks), 20_000):
-            part = chunks[start:start + 20_000]
-            for chunk, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.young[chunk] = np.array(made.ids, self.dtype).tobytes()
+        parts, new = [], set()
+        for chunk in chunks:
+            stem, tail = chunk, ""
+            if max(chunk) < "\u0100" and "<" not in chunk:        # upper and lower case are single characters here
+                stem = chunk.lower() if self.lowers else chunk
+                if len(stem) > 1 and stem[-1] in ".," and stem[-2] in PLAIN:
+                    stem, tail = stem[:-1], stem[-1]
+            if stem is not chunk:
+                parts.append((chunk, stem, tail))
+            if stem not in self.young:
+                new.add(stem)
+        self._library(list(new | {".", ","}))
+        young = self.young
+        for chunk, stem, tail in parts:
+            if chunk not in young:
+                young[chunk] = young[stem] + young[tail] if tail else young[stem]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes."""
         out = []
-        for at in range(0, len(texts), 64):
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at:at + 64]]
+        for at in range(0, len(texts), 256):
+            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at:at + 256]]
             wanted = set().union(*split)
             wanted.discard("")
             missing = []
@@ -187,7 +225,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     folder = folder.rstrip("/")
 
     def write(batches):
-        encoder = ChunkEncoder(tokenizer)
+        encoder = worker_state(tokenizer, lambda: ChunkEncoder(tokenizer))
         width = encoder.dtype.itemsize
         tail = np.array([end_id], encoder.dtype).tobytes()
         fs, root = open_shared(folder)
