@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simlens.llm import jaccard, language, pieces, tokenfile
+from simlens.llm import chat, decontaminate, html, jaccard, language, pieces, tokenfile, topk
 from simlens.llm.common import held_out, read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,74 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL["op3_decontamination"] = f"""
+with words as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+  items as (select item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+  sized as (select item_id, w, least(len(w), 10) as span from items where len(w) > 0),
+  item_windows as (select distinct item_id, span, array_to_string(w[i:i + span - 1], ' ') as g from (select *, unnest(range(1, len(w) - span + 2)) as i from sized)),
+  spans as (select distinct span from sized),
+  doc_windows as (select doc_id, span, i, array_to_string(w[i:i + span - 1], ' ') as g from (select *, unnest(range(1, len(w) - span + 2)) as i from words, spans)),
+  hits as (select doc_id, d.span, i, item_id from doc_windows d join item_windows using (span, g)),
+  hit_words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + span)) as p from (select distinct doc_id, span, i from hits)) group by doc_id),
+  hit_items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed from (select distinct doc_id, item_id::varchar as item from hits) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join hit_words using (doc_id) left join hit_items using (doc_id)
+"""
+
+
+@query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"),
+                                                              F.lit("</s>[INST] ok [/INST]").alias("text")) for i, r in enumerate(("user", "assistant"))])))
+    return chat.conversation_digests(turns.unionByName(added), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _escaped(column: str) -> str:
+    """Length that escaping adds, by SQL: control strings found in the text, each with its backslashes."""
+    names = sorted([*chat.CONTROLS, "<|endoftext|>"], key=len, reverse=True)
+    tails = "|".join("".join(f"\\{c}" if not c.isalnum() and c != "<" and c != ">" and c != "=" and c != "/" else c for c in n[1:]) for n in names)
+    return f"len(regexp_extract_all({column}, '[<\\[]\\\\*({tails})'))"
+
+
+SQL["op4_chat_format"] = f"""
+with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, i, r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) v(i, r))
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length(text) + {_escaped("text")} + case role when 'assistant' then 7 when 'user' then 13 when 'system' then 15 else 17 + length(url_encode(role)) end)::bigint as formatted_chars
+from turns group by conv_id
+"""
+
+
+@query
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+SQL["op9_top_k"] = """
+with vectors as (select vec_id, [floor(64 * x::double)::bigint for x in embedding] as v from embeddings
+    where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+  scored as (select q.vec_id as query_id, c.vec_id, list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)])::bigint as score
+    from vectors q join vectors c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 20 = 0),
+  ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 20
+"""
