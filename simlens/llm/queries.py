@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simlens.llm import chat, decontaminate, html, jaccard, language, pieces, tokenfile, topk
+from simlens.llm import chat, decontaminate, html, jaccard, language, pieces, pii, quality, tokenfile, topk
 from simlens.llm.common import held_out, read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,16 @@ with vectors as (select vec_id, [floor(64 * x::double)::bigint for x in embeddin
   ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
 select query_id, rank::int as rank, vec_id, score from ranked where rank <= 20
 """
+
+
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    learned = ~held_out(F.col("doc_id"))
+    model = quality.train(docs.where(learned), labels.where(learned), "quality")
+    return quality.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
