@@ -85,9 +85,13 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return arrow_rows(chosen, run, "item_id long, span int, fingerprint long, window string")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): row, doc_id, n_words, n_hit, n_items, items (sorted as strings), spans, contaminated."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with n_words, n_hit, n_items, items (sorted as strings), spans and contaminated, from ``text``.
+
+    Kept columns must not bear the names of the added ones.
+    """
     spark = docs.sparkSession
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     items = cut(benchmark_windows(benchmark).distinct())
     slot = F.col("fingerprint").bitwiseAND((1 << BITS) - 1)
     marks = (items.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast((fingerprint & {(1 << BITS) - 1}L) & 63L as int))").alias("bit"))
@@ -107,13 +111,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 counts += own
                 for i, at, span, kept, window in found:
                     hits[a + i].append({"at": at, "span": span, "fingerprint": kept, "window": window})
-            yield {"doc_id": columns["doc_id"], "n_words": counts, "hits": hits}
+            yield {c: columns[c] for c in keep} | {"_n": counts, "_hits": hits}
 
-    met = arrow_rows(docs.select("doc_id", "text"), run, "doc_id long, n_words long, hits array<struct<at:int,span:int,fingerprint:long,window:string>>")
-    met = cut(met.withColumn("row", F.monotonically_increasing_id()))
+    schema = ", ".join([f"`{c}` {fields[c]}" for c in keep] + ["_n long", "_hits array<struct<at:int,span:int,fingerprint:long,window:string>>"])
+    met = arrow_rows(docs.select(*dict.fromkeys([*keep, "text"])), run, schema)
+    met = cut(met.withColumn("_row", F.monotonically_increasing_id()))
     key = ["fingerprint", "span", "window"]
     distinct = cut(items.select(*key).distinct().withColumn("number", F.monotonically_increasing_id()))
-    hits = cut(met.select("row", F.inline("hits")).join(distinct, key).select("row", "at", (F.col("at") + F.col("span")).alias("end"), "number"))
+    hits = cut(met.select(F.col("_row").alias("row"), F.inline("_hits")).join(distinct, key).select("row", "at", (F.col("at") + F.col("span")).alias("end"), "number"))
 
     before = Window.partitionBy("row").orderBy("at", "end").rowsBetween(Window.unboundedPreceding, -1)
     placed = hits.select("row", "at", "end").distinct().withColumn("seen", F.coalesce(F.max("end").over(before), F.lit(-1)))
@@ -126,8 +131,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     listed = (hits.select("row", "number").distinct().join(whose, "number").select("row", "item").distinct()
               .groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items")))
     none = F.array().cast("array<string>")
-    return (met.select("row", "doc_id", "n_words").join(extended, "row", "left").join(listed, "row", "left")
-            .select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+    return (met.drop("_hits").join(extended.withColumnRenamed("row", "_row"), "_row", "left").join(listed.withColumnRenamed("row", "_row"), "_row", "left")
+            .select(*keep, F.col("_n").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"),
                     F.coalesce("spans", F.array().cast("array<struct<at:int,end:int>>")).alias("spans"),
                     F.col("n_hit").isNotNull().alias("contaminated")))

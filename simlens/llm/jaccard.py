@@ -221,7 +221,7 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """row, doc_id, text_hash, n_shingles and component_id for each row of ``docs`` (doc_id, text)."""
+    """row, doc_id, text_hash, n_shingles, component (its smallest row) and component_id for each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     sets = ordered_sets(docs, shingle_levels(docs, n, num, den), n, num, den)
     filled = sets.where("size > 0")
@@ -279,4 +279,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     rows = sets.select("row", "doc_id", "text_hash", "size").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
     lowest = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(lowest, "label").select("row", "doc_id", "text_hash", F.col("size").cast("long").alias("n_shingles"), "component_id")
+    return rows.join(lowest, "label").select("row", "doc_id", "text_hash", F.col("size").cast("long").alias("n_shingles"), F.col("label").alias("component"), "component_id")
+
+
+def first_of_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` that come first in their component, by doc_id (nulls last), text hash and row; all columns."""
+    rows = jaccard_components(docs, n, num, den)
+    none = (1 << 63) - 1
+    first = rows.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(none)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "text_hash", "row")).alias("k"))
+    kept = first.groupBy("k._id", "k._none", F.col("k.text_hash").alias("_hash")).agg(F.count("*").alias("_n"))
+    key = ["_id", "_none", "_hash"]
+    keyed = (docs.withColumn("_id", F.coalesce("doc_id", F.lit(none))).withColumn("_none", F.col("doc_id").isNull()).withColumn("_hash", F.xxhash64("text"))
+             .join(kept, key))
+    # rows that agree in id and text are told apart by number only
+    return keyed.withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy("_id"))).where("_at <= _n").select(*docs.columns)
