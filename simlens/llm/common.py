@@ -94,14 +94,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Splits UTF-8 text into words and hashes each to 64 bits, with array operations only.
 
-    ``inside`` says for each byte whether it belongs to a word. A-Z count as a-z. The hash of a word
-    is a polynomial in a fixed odd base over random byte values, taken from prefix sums modulo 2^64.
+    ``inside`` says for each byte whether it belongs to a word. With ``fold``, A-Z count as a-z. A byte
+    of ``marks`` between a letter or digit and the end of a word is a word of its own. The hash of a
+    word is a polynomial in a fixed odd base over random byte values, from prefix sums modulo 2^64.
     """
 
-    def __init__(self, inside: np.ndarray):
-        self.inside = inside
+    def __init__(self, inside: np.ndarray, fold: bool = True, marks: bytes = b""):
         lower = np.arange(256, dtype=np.uint8)
-        lower[65:91] += 32
+        if fold:
+            lower[65:91] += 32
+        self.marks = marks
         value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.value, self.inside = value[lower], inside[lower]
         self.size = 0
@@ -123,7 +125,13 @@ class Words:
         self._powers(len(raw) + 1)
         flags = self.inside[raw].view(np.int8)
         step = np.diff(flags, prepend=np.int8(0), append=np.int8(0))
-        starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        begin, stop = step == 1, step == -1
+        if self.marks:
+            last = np.flatnonzero(stop) - 1
+            last = last[(last > 0) & IS_MARK[self.marks][raw[last]]]
+            last = last[PLAIN_BYTE[raw[last - 1]]]
+            begin[last] = stop[last] = True
+        starts, ends = np.flatnonzero(begin), np.flatnonzero(stop)
         sums = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(self.value[raw] * self.up[:len(raw)], out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
@@ -132,6 +140,16 @@ class Words:
         return starts, ends, hashes, data, first
 
 
+class _Marks(dict):
+    def __missing__(self, marks: bytes) -> np.ndarray:
+        self[marks] = np.isin(np.arange(256), list(marks))
+        return self[marks]
+
+
+IS_MARK = _Marks()
+PLAIN_BYTE = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+
+
 def words_of(separators: bytes, keep_high: bool = True) -> np.ndarray:
     """Table of word bytes for a set of separator bytes."""
     inside = np.ones(256, dtype=bool)

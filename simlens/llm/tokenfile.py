@@ -24,13 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from simlens.llm.common import arrow_rows, open_shared, worker_state
+from simlens.llm.common import BLOCK, Words, arrow_rows, blocks, open_shared, words_of, worker_state
 
 MAGIC = b"SLTOKEF1"
 HEADER = "<QQBQq"
 EF_HEADER = "<QQBQ"
 SAMPLE = 256
-PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 class EliasFano:
@@ -95,21 +94,27 @@ class EliasFano:
         return ((ones - i) << self.low) | self._low(i).astype(np.int64)
 
 
-class ChunkEncoder:
-    """Encodes texts with a tokenizer that drops white space, one white-space-free chunk at a time.
+class WordEncoder:
+    """Encodes texts with a tokenizer that drops white space, one distinct word at a time.
 
     Such a tokenizer never joins characters across white space, so a text's ids are its chunks' ids in
-    order. Each distinct chunk is encoded by the library once and kept while the worker lives; two
-    generations bound the memory. The first text of every call is also encoded whole and compared.
+    order; a full stop or comma that ends a chunk after a letter or digit is a chunk of its own, and
+    upper-case ASCII letters count as lower-case ones if the tokenizer lowers them. Chunks are found and
+    hashed by array operations (64 bits; equal hashes of chunks of other length fail). Each distinct
+    chunk is encoded by the library once and kept while the worker lives; two generations bound the
+    memory. Texts that may hold special tokens are encoded whole. The first text of every call is also
+    encoded whole and compared.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A\u00c9") == "a\u00e9"
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AZ") == "az"
+        self.words = Words(words_of(b" \t\n\r"), fold=self.lowers, marks=b".,")
+        self.special = sorted({t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = None
         if suffix:
@@ -117,70 +122,75 @@ class ChunkEncoder:
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.limit, self.young, self.old = limit, {}, {}
 
-    def _library(self, words: list[str]) -> None:
-        """Encode new chunks. Chunks of letters alone are single words, so many are encoded in one call and told apart by the ids that end words."""
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _library(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words. Words of letters alone are encoded many in one call and told apart by the ids that end words."""
+        out: dict[str, bytes] = {}
         letters = [w for w in words if w.isalpha()] if self.ends is not None else []
-        others = [w for w in words if not w.isalpha()] if letters else words
         groups = [letters[at:at + 500] for at in range(0, len(letters), 500)]
-        for group, made in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(made.ids, self.dtype)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(group):
-                others += group
-                continue
-            ids, edges = ids.tobytes(), [0, *(cuts * self.dtype.itemsize).tolist()]
-            self.young.update(zip(group, [ids[a:b] for a, b in zip(edges, edges[1:])]))
-        for at in range(0, len(others), 20_000):
-            part = others[at:at + 20_000]
-            for chunk, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.young[chunk] = np.array(made.ids, self.dtype).tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Chunks are taken apart into a lower-case stem and a final mark where that cannot change the ids."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        parts, new = [], set()
-        for chunk in chunks:
-            stem, tail = chunk, ""
-            if max(chunk) < "\u0100" and "<" not in chunk:        # upper and lower case are single characters here
-                stem = chunk.lower() if self.lowers else chunk
-                if len(stem) > 1 and stem[-1] in ".," and stem[-2] in PLAIN:
-                    stem, tail = stem[:-1], stem[-1]
-            if stem is not chunk:
-                parts.append((chunk, stem, tail))
-            if stem not in self.young:
-                new.add(stem)
-        self._library(list(new | {".", ","}))
-        young = self.young
-        for chunk, stem, tail in parts:
-            if chunk not in young:
-                young[chunk] = young[stem] + young[tail] if tail else young[stem]
+        for group, made in zip(groups, self._whole([" ".join(g) for g in groups])):
+            cuts = np.flatnonzero(self.ends[np.frombuffer(made, self.dtype)]) + 1
+            if len(cuts) == len(group):
+                edges = [0, *(cuts * self.dtype.itemsize).tolist()]
+                out.update(zip(group, [made[a:b] for a, b in zip(edges, edges[1:])]))
+        others = [w for w in words if w not in out]
+        out.update(zip(others, self._whole(others)))
+        return out
+
+    def _values(self, keys: list[int], words) -> list[bytes]:
+        """Ids for each hash; ``words(i)`` gives the text of the i-th."""
+        young, old = self.young, self.old
+        missing = []
+        out = [young.get(k) for k in keys]
+        for i, value in enumerate(out):
+            if value is None:
+                value = old.get(keys[i])
+                if value is None:
+                    missing.append(i)
+                else:
+                    young[keys[i]] = out[i] = value
+        if missing:
+            texts = [words(i) for i in missing]
+            made = self._library(list(dict.fromkeys(texts)))
+            for i, text in zip(missing, texts):
+                young[keys[i]] = out[i] = made[text]
+        if len(young) > self.limit:
+            self.old, self.young = young, {}
+        return out
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        starts, ends, hashes, data, first = self.words.split(texts)
+        found, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        sizes = (ends - starts).astype(np.int32)
+        if (sizes[where][inverse] != sizes).any():
+            return self._whole(texts)
+        a, b = starts[where].tolist(), ends[where].tolist()
+        values = self._values(found.tolist(), lambda i: data[a[i]:b[i]].lower().decode() if self.lowers else data[a[i]:b[i]].decode())
+        step = self.dtype.itemsize
+        counts = np.fromiter(map(len, values), np.int64, len(values)) // step
+        pool = np.frombuffer(b"".join(values), self.dtype)
+        begins = np.cumsum(counts) - counts
+        lengths = counts[inverse]
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        ids = pool[np.repeat(begins[inverse] - upto[:-1], lengths) + np.arange(upto[-1])].tobytes()
+        edges = (upto[first] * step).tolist()
+        return [ids[x:y] for x, y in zip(edges, edges[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes."""
-        out = []
-        for at in range(0, len(texts), 256):
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at:at + 256]]
-            wanted = set().union(*split)
-            wanted.discard("")
-            missing = []
-            for chunk in wanted.difference(self.young):
-                known = self.old.get(chunk)
-                if known is None:
-                    missing.append(chunk)
-                else:
-                    self.young[chunk] = known
-            self._learn(missing)
-            young, old = self.young, self.old
-            young[""] = b""
-            try:
-                out += [b"".join([young[c] for c in chunks]) for chunks in split]
-            except KeyError:      # the generation turned between: look in both
-                out += [b"".join([young[c] if c in young else old[c] for c in chunks]) for chunks in split]
-        if texts:
-            whole = np.array(self.tokenizer.encode(texts[0], add_special_tokens=False).ids, self.dtype).tobytes()
-            if whole != out[0]:
-                raise ValueError("this tokenizer joins characters across white space; its texts must be encoded whole")
+        out: list[bytes] = [b""] * len(texts)
+        plain, whole = [], []
+        for i, text in enumerate(texts):
+            (whole if any(s in text for s in self.special) else plain).append(i)
+        for a, b in blocks([texts[i] for i in plain], 4 * BLOCK):
+            for i, made in zip(plain[a:b], self._block([texts[i] for i in plain[a:b]])):
+                out[i] = made
+        for i, made in zip(whole, self._whole([texts[i] for i in whole])):
+            out[i] = made
+        if texts and out[0] != self._whole(texts[:1])[0]:
+            raise ValueError("this tokenizer joins characters across white space; its texts must be encoded whole")
         return out
 
 
@@ -225,7 +235,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     folder = folder.rstrip("/")
 
     def write(batches):
-        encoder = worker_state(tokenizer, lambda: ChunkEncoder(tokenizer))
+        encoder = worker_state(tokenizer, lambda: WordEncoder(tokenizer))
         width = encoder.dtype.itemsize
         tail = np.array([end_id], encoder.dtype).tobytes()
         fs, root = open_shared(folder)
@@ -247,14 +257,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             ids, texts, numbers = columns["doc_id"].to_pylist(), columns["text"].to_pylist(), columns["part"]
             if seq is None and len(numbers):
                 part, seq = numbers[0].as_py(), 0
-            for at in range(0, len(ids), 256):
-                for ident, coded in zip(ids[at:at + 256], encoder.encode(texts[at:at + 256])):
-                    names.append(ident)
-                    parts.append(coded + tail)
-                    lengths.append(len(coded) // width + 1)
-                    held += lengths[-1]
-                    if held >= shard_ids or len(names) >= 1 << 18:
-                        rows.append(close())
+            for ident, coded in zip(ids, encoder.encode(texts)):
+                names.append(ident)
+                parts.append(coded + tail)
+                lengths.append(len(coded) // width + 1)
+                held += lengths[-1]
+                if held >= shard_ids or len(names) >= 1 << 18:
+                    rows.append(close())
             yield from rows
             rows = []
         if names:
