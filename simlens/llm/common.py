@@ -16,6 +16,9 @@ from simlens.session import checkpoint_root, cut
 
 __all__ = ["BLOCK", "arrow_rows", "blocks", "cut", "held_out", "held_out_id", "mix", "open_shared", "read_table", "shared_folder", "Words", "worker_state", "words_of"]
 
+#: Rows and bytes of an Arrow batch, at most: whole texts are long, and several batches are in memory at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
 #: Bytes of text that a vectorised kernel handles at once; bounds the memory of a task whatever the batch holds.
 BLOCK = 1 << 20
 
@@ -56,7 +59,10 @@ def held_out_id(ident) -> bool:
 
 
 def arrow_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
-    """Apply ``rows`` to each partition; it takes and yields dictionaries of columns (lists or arrays)."""
+    """Apply ``rows`` to each partition; it takes and yields dictionaries of columns (lists or arrays).
+
+    The session's limits of Arrow batches are lowered to ``BATCH``, unless they are lower already.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -67,6 +73,11 @@ def arrow_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]],
         for columns in rows(inputs):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in out], schema=out)
 
+    conf = df.sparkSession.conf
+    for name, most in BATCH.items():
+        now = conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
     return df.mapInArrow(run, schema)
 
 
