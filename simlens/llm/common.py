@@ -58,6 +58,24 @@ def held_out_id(ident) -> bool:
     return ident is None or zlib.crc32(str(ident).encode()) % 5 == 0
 
 
+#: Bits of the membership table of ``likely_among``: a fixed size.
+MEMBER_BITS = 23
+
+
+def likely_among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may occur in ``ids`` (one column of that name): all that do, and some others.
+
+    Saves shuffling rows that a join would drop. The broadcast table has 2^(MEMBER_BITS - 6) rows at most, however many ids there are.
+    """
+    def slot():
+        return F.pmod(F.xxhash64(column), F.lit(1 << MEMBER_BITS))
+
+    bits = (ids.where(F.col(column).isNotNull()).select(F.shiftright(slot(), 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64) as int))").alias("_bit"))
+            .groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    marked = df.withColumn("_word", F.shiftright(slot(), 6)).join(F.broadcast(cut(bits)), "_word")
+    return marked.where(F.expr(f"shiftrightunsigned(_bits, cast(pmod(xxhash64({column}), 64) as int)) & 1L") == 1).drop("_word", "_bits")
+
+
 def arrow_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """Apply ``rows`` to each partition; it takes and yields dictionaries of columns (lists or arrays).
 

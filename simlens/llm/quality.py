@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simlens.llm.common import SPACES, Words, arrow_rows, blocks, cut, mix, words_of
+from simlens.llm.common import SPACES, Words, arrow_rows, blocks, cut, likely_among, mix, words_of
 
 SLOTS = 1 << 17
 #: Rows of each class that the hinge-loss model is fitted on, at most.
@@ -122,7 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int = FIT_RO
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id and a 0/1 column), both already cut to the training rows."""
     agreed = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id")
               .agg(F.min(label).alias("y"), F.max(label).alias("top")).where("y = top").select("doc_id", F.col("y").cast("int").alias("y")))
-    known = docs.select("doc_id", "text").join(agreed, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    agreed = cut(agreed)
+    known = likely_among(docs.select("doc_id", "text"), "doc_id", agreed.select("doc_id")).join(agreed, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
     totals = {r["y"]: r["n"] for r in docs.select("doc_id").join(agreed, "doc_id").groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return {"share": float(next(iter(totals), 0.5))}
