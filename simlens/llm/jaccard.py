@@ -13,8 +13,8 @@ then by hash). Two relations between sets save work:
   comparison, a difference beyond the limit is none. Sets already in one component need no answer.
   Only what is left is compared, so a group of n near copies costs about n comparisons, not n * n.
 
-Shingle counts cover all documents. Within a batch a set that occurs again is not indexed again, and
-equal sets are one set in all lists. Comparisons are made on the whole texts. The order needs one
+Shingle counts cover all documents. A set that a task has indexed is not indexed again, and equal sets are
+one set in all lists. Comparisons are made on the whole texts. The order needs one
 number for each slot of a fixed table, whose size does not follow the input; any order is right.
 
 Defined results: a text with 1 to n - 1 words is one shingle; null texts and texts without words have
@@ -118,9 +118,11 @@ def ordered_sets(docs: DataFrame, levels: np.ndarray, n: int, num: int, den: int
 
     def order(batches: Iterator[dict]) -> Iterator[dict]:
         shingler, table = Shingler(n), shared.value
+        seen: set[bytes] = set()
         for columns in batches:
             texts = [t or "" for t in columns["text"].to_pylist()]
-            seen: set[bytes] = set()
+            if len(seen) > 200_000:
+                seen.clear()
             sizes, digests, prefixes = [], [], []
             for a, b in blocks(texts):
                 for own in shingler.sets(texts[a:b]):
@@ -278,7 +280,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     labels = relabelled(labels, found.where("link").select("a", "b").unionByName(met.where("sure").select("a", "b")))
 
     rows = sets.select("row", "doc_id", "text_hash", "size").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    lowest = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    lowest = cut(rows.groupBy("label").agg(F.min("doc_id").alias("component_id")))
     return rows.join(lowest, "label").select("row", "doc_id", "text_hash", F.col("size").cast("long").alias("n_shingles"), F.col("label").alias("component"), "component_id")
 
 
