@@ -85,10 +85,10 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return arrow_rows(chosen, run, "item_id long, span int, fingerprint long, window string")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], prefix: str = "") -> DataFrame:
     """Columns ``keep`` of ``docs`` with n_words, n_hit, n_items, items (sorted as strings), spans and contaminated, from ``text``.
 
-    Kept columns must not bear the names of the added ones.
+    The added names begin with ``prefix``, for tables that have such names already.
     """
     spark = docs.sparkSession
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
@@ -131,8 +131,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> Dat
     listed = (hits.select("row", "number").distinct().join(whose, "number").select("row", "item").distinct()
               .groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items")))
     none = F.array().cast("array<string>")
-    return (met.drop("_hits").join(extended.withColumnRenamed("row", "_row"), "_row", "left").join(listed.withColumnRenamed("row", "_row"), "_row", "left")
-            .select(*keep, F.col("_n").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-                    F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"),
-                    F.coalesce("spans", F.array().cast("array<struct<at:int,end:int>>")).alias("spans"),
-                    F.col("n_hit").isNotNull().alias("contaminated")))
+    out = (met.drop("_hits").join(extended.select(F.col("row").alias("_row"), F.col("n_hit").alias("_n_hit"), F.col("spans").alias("_spans")), "_row", "left")
+           .join(listed.select(F.col("row").alias("_row"), F.col("items").alias("_items")), "_row", "left")
+            .select(*keep, F.col("_n").alias(f"{prefix}n_words"), F.coalesce("_n_hit", F.lit(0)).cast("long").alias(f"{prefix}n_hit"),
+                    F.size(F.coalesce("_items", none)).cast("long").alias(f"{prefix}n_items"), F.coalesce("_items", none).alias(f"{prefix}items"),
+                    F.coalesce("_spans", F.array().cast("array<struct<at:int,end:int>>")).alias(f"{prefix}spans"),
+                    F.col("_n_hit").isNotNull().alias(f"{prefix}contaminated")))
+    return out

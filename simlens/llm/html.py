@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. The first pass labels each block by itself: blocks in
 menus, page headers, footers, sidebars, notices, adverts, forms and comments are bad; so are blocks
 with much link text; long blocks with many stop words are good; the rest is ambiguous. The second pass
-gives ambiguous blocks the label of their nearest decided neighbours. Where a page has an ``article``
+gives ambiguous blocks the label of their nearest decided neighbours: those in the article and longer ones stay unless both sides are bad, short ones
+follow the nearer side. Where a page has an ``article``
 or ``main`` element, its borders count as good neighbours inside and bad ones outside.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as it goes (an
@@ -159,17 +160,18 @@ def main_text(html: str) -> str:
             b = blocks[i]
             last = (last[0], last[1] + 1)
             near[i] = last
-            if has_article and not b.inside:
+            if has_article and (b.boiler or not b.inside):
                 last = (True, n)           # leaving the article: its border is a good neighbour of what is inside
             elif b.label is not None:
                 last = (b.label, 0)
     chosen = []
     for b, left, right in zip(blocks, before, after):
-        if b.label is None:
-            b_label = left[0] if left[0] == right[0] else (left[0] if left[1] < right[1] else right[0] if right[1] < left[1] else len(b.text) >= SHORT)
-        else:
-            b_label = b.label
-        if b_label:
+        label = b.label
+        if label is None and (b.inside or len(b.text) >= SHORT):
+            label = left[0] or right[0]    # dropped only between bad neighbours
+        elif label is None:
+            label = min(left, right, key=lambda side: (side[1], not side[0]))[0]
+        if label:
             chosen.append(b.text)
     return "\n".join(chosen)
 

@@ -126,8 +126,8 @@ def train_profiles(docs: DataFrame, train: Column, dimensions: int = DIMENSIONS)
     return {r["lang"]: np.array(r["v"], dtype=np.float64) for r in sorted(rows, key=lambda r: r["lang"]) if any(r["v"])}
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with lang_pred and score (cosine, negative ones as 0), from ``text``."""
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with the predicted language and its cosine (negative ones as 0), called ``names``, from ``text``."""
     labels = list(profiles)
     dimensions = len(next(iter(profiles.values()))) if profiles else DIMENSIONS
     prototypes = unit(np.stack(list(profiles.values()))).astype(np.float32).T if profiles else np.zeros((dimensions, 0), np.float32)
@@ -145,7 +145,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str])
                 top = cosines.argmax(axis=1)
                 best += [labels[t] if k else "und" for t, k in zip(top, known)]
                 value.append(np.where(known, np.clip(cosines[np.arange(b - a), top], 0, 1), 0.0))
-            yield {c: columns[c] for c in keep} | {"lang_pred": best, "score": np.concatenate(value) if value else []}
+            yield {c: columns[c] for c in keep} | {names[0]: best, names[1]: np.concatenate(value) if value else []}
 
     wanted = docs.select(*dict.fromkeys([*keep, "text"]))
-    return arrow_rows(wanted, score, ", ".join([f"`{c}` {fields[c]}" for c in keep] + ["lang_pred string", "score double"]))
+    return arrow_rows(wanted, score, ", ".join([f"`{c}` {fields[c]}" for c in keep] + [f"{names[0]} string", f"{names[1]} double"]))

@@ -140,10 +140,10 @@ def _occurrences(docs: DataFrame, keep: list[str]) -> DataFrame:
                     spans.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
                     found.append([{"kind": k, "start": a, "end": b, "seed": seed, "instance": surface(text, k, a, b), "patterns": contexts(text, a, b)}
                                   for seed, group in ((True, base), (False, loose)) for k, a, b in group])
-                yield ({c: columns[c][at:at + 1000] for c in keep} | {"counts": counts, "base": spans, "found": found})
+                yield ({c: columns[c][at:at + 1000] for c in keep} | {"_counts": counts, "_base": spans, "_found": found})
 
-    schema = ", ".join([f"`{c}` {fields[c]}" for c in keep] + ["counts array<long>", "base array<struct<kind:int,start:int,end:int>>",
-                       "found array<struct<kind:int,start:int,end:int,seed:boolean,instance:string,patterns:array<string>>>"])
+    schema = ", ".join([f"`{c}` {fields[c]}" for c in keep] + ["_counts array<long>", "_base array<struct<kind:int,start:int,end:int>>",
+                       "_found array<struct<kind:int,start:int,end:int,seed:boolean,instance:string,patterns:array<string>>>"])
     return arrow_rows(docs.select(*dict.fromkeys([*keep, "text"])), run, schema)
 
 
@@ -170,14 +170,14 @@ def discover(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, lea
 
 
 def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with counts (by kind), base and spans (arrays of kind, start, end by kind, then start), from ``text``."""
-    rows = cut(_occurrences(docs, keep).withColumn("row", F.monotonically_increasing_id()))
-    found = rows.select("row", F.inline("found"))
+    """Columns ``keep`` of ``docs`` with _counts (by kind), _base and _spans (arrays of kind, start, end by kind, then start), from ``text``."""
+    rows = cut(_occurrences(docs, keep).withColumn("_row", F.monotonically_increasing_id()))
+    found = rows.select("_row", F.inline("_found"))
     trusted = discover(found)
-    more = (found.where("not seed").join(trusted, ["kind", "instance"]).groupBy("row")
-            .agg(F.collect_list(F.struct("kind", "start", "end")).alias("more")))
+    more = (found.where("not seed").join(trusted, ["kind", "instance"]).groupBy("_row")
+            .agg(F.collect_list(F.struct("kind", "start", "end")).alias("_more")))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return rows.drop("found").join(more, "row", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", none)))).drop("row", "more")
+    return rows.drop("_found").join(more, "_row", "left").withColumn("_spans", F.array_sort(F.concat("_base", F.coalesce("_more", none)))).drop("_row", "_more")
 
 
 def listed(spans: str):
@@ -194,7 +194,7 @@ def redact(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for own in batches:
             texts = []
-            for text, spans in zip(own["text"].to_pylist(), own["spans"].to_pylist()):
+            for text, spans in zip(own["text"].to_pylist(), own["_spans"].to_pylist()):
                 if text is not None and spans:
                     parts, at = [], 0
                     for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
@@ -211,5 +211,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     found = detect(docs, ["doc_id"])
-    return found.select("doc_id", *[F.get("counts", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(KINDS)],
-                        F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return found.select("doc_id", *[F.get("_counts", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(KINDS)],
+                        F.sha2(listed("_base"), 256).alias("base_sha256"), listed("_spans").alias("spans"))
