@@ -14,7 +14,7 @@ from simlens.llm.common import held_out, read_table, shared_folder
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without any letter go."""
     profiles = language.train_profiles(docs, ~held_out(F.col("doc_id")))
-    return language.identify(docs, profiles, docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
+    return language.identify(docs, profiles, docs.columns, ("_lang_pred", "_lang_score")).where("_lang_pred <> 'und'").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), docs.columns)
-    return found.where("not contaminated").select(*docs.columns)
+    found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), docs.columns, "_")
+    return found.where("not _contaminated").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
