@@ -163,19 +163,65 @@ def mutual_information(spark, sf):
     return rounded(D.mutual_information(_mixed(spark, sf), "particle", ["quantity", "tax"], ["mixed"]), 6)
 
 
-@query("mutual_information_direction")
+def _harmonic(k: int) -> float:
+    return sum(1.0 / i for i in range(1, k))
+
+
+def _ksg_long(k: int, rows: str, group: str) -> str:
+    """CTEs of the same estimate for rows x(group, particle, x, y), scaled: m(group, n, mi)."""
+    on = " AND ".join(f"{{0}}.{g} = b.{g}" for g in group.split(", "))
+    cols = ", ".join(f"{{0}}.{g}" for g in group.split(", "))
+    return f"""psi AS (SELECT n, sum(CASE WHEN n = 1 THEN -0.57721566490153286061::DOUBLE ELSE 1.0::DOUBLE / (n - 1) END) OVER (ORDER BY n) AS psi FROM range(1, 30000) t(n)),
+  x AS ({rows}),
+  r AS (SELECT {cols.format("a")}, a.particle, any_value(a.x) AS x, any_value(a.y) AS y, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), {k}) AS near FROM x a JOIN x b ON {on.format("a")} AND a.particle <> b.particle GROUP BY ALL),
+  c AS (SELECT {cols.format("r")}, r.particle, count_if(abs(r.x - b.x) < r.near[{k}] * (1 - 1e-10)) AS nx, count_if(abs(r.y - b.y) < r.near[{k}] * (1 - 1e-10)) AS ny FROM r JOIN x b ON {on.format("r")} WHERE len(r.near) = {k} GROUP BY ALL),
+  m AS (SELECT {group}, count(*) AS n, any_value(z.psi) + {_harmonic(k)!r} - 0.57721566490153286061 - avg(p.psi) - avg(q.psi) AS mi
+    FROM (SELECT *, count(*) OVER (PARTITION BY {group}) AS size FROM c) JOIN psi p ON p.n = greatest(nx, 1) JOIN psi q ON q.n = greatest(ny, 1) JOIN psi z ON z.n = size GROUP BY {group})"""
+
+
+_SCALED = """SELECT {keys}'{p}' AS parameter, '{m}' AS metric, particle, {p} / CASE WHEN stddev_pop({p}) OVER w > 0 THEN stddev_pop({p}) OVER w ELSE 1 END AS x,
+  {e} / CASE WHEN stddev_pop({e}) OVER w > 0 THEN stddev_pop({e}) OVER w ELSE 1 END AS y FROM parts WINDOW w AS ({over})"""
+
+
+def _scaled(keys: str, metrics: dict[str, str]) -> str:
+    return " UNION ALL ".join(_SCALED.format(keys=f"{keys}, " if keys else "", p=p, m=m, e=e, over=f"PARTITION BY {keys}" if keys else "")
+                              for p in ("quantity", "tax") for m, e in metrics.items())
+
+
+_MIXED = {"mixed": "(quantity + tax * 100)"}
+_PLACES = {c: f"(rank() OVER (PARTITION BY grp ORDER BY {c}) + (count(*) OVER (PARTITION BY grp, {c}) - 1) / 2.0::DOUBLE)" for c in ("quantity", "tax", "mixed", "extendedprice")}
+_DIRECTION = "WITH " + _ksg_long(3, _scaled("grp", {**_MIXED, "extendedprice": "extendedprice"}), "grp, parameter, metric") + """,
+  k AS (SELECT grp, """ + ", ".join(f"{e} AS r_{c}" for c, e in _PLACES.items()) + """ FROM (SELECT *, quantity + tax * 100 AS mixed FROM parts)),
+  d AS (""" + " UNION ALL ".join(f"SELECT grp, '{p}' AS parameter, '{m}' AS metric, corr(r_{p}, r_{m}) AS rho FROM k GROUP BY grp" for p in ("quantity", "tax") for m in ("mixed", "extendedprice")) + """)
+  SELECT grp, parameter, metric, n, round(greatest(mi, 0), 6) AS mi, coalesce(sign(CASE WHEN isnan(rho) THEN NULL ELSE rho END), 0)::INTEGER AS direction FROM m JOIN d USING (grp, parameter, metric)"""
+
+
+@query("mutual_information_direction", sql("parts", _DIRECTION))
 def mutual_information_direction(spark, sf):
-    return D.mi_with_direction(_mixed(spark, sf), "particle", ["quantity", "tax"], ["mixed", "extendedprice"], keys=["grp"])
+    return rounded(D.mi_with_direction(_mixed(spark, sf), "particle", ["quantity", "tax"], ["mixed", "extendedprice"], keys=["grp"]), 6)
+
 
+_OVER_K = " UNION ALL ".join("SELECT * FROM (WITH " + _ksg_long(k, _scaled("", _MIXED), "parameter, metric") + f" SELECT parameter, metric, n, round(greatest(mi, 0), 6) AS mi, {k} AS k FROM m)" for k in (3, 4, 5))
 
-@query("mutual_information_over_k")
+
+@query("mutual_information_over_k", sql("parts", _OVER_K))
 def mutual_information_over_k(spark, sf):
-    return D.mi_over_k(_mixed(spark, sf), "particle", ["quantity", "tax"], ["mixed"], (3, 5))
+    return rounded(D.mi_over_k(_mixed(spark, sf), "particle", ["quantity", "tax"], ["mixed"]), 6)
+
+
+_JOINT = """WITH psi AS (SELECT n, sum(CASE WHEN n = 1 THEN -0.57721566490153286061::DOUBLE ELSE 1.0::DOUBLE / (n - 1) END) OVER (ORDER BY n) AS psi FROM range(1, 30000) t(n)),
+  z AS (SELECT particle, (quantity - avg(quantity) OVER ()) / stddev_pop(quantity) OVER () AS quantity, (tax - avg(tax) OVER ()) / stddev_pop(tax) OVER () AS tax,
+    (extendedprice - avg(extendedprice) OVER ()) / stddev_pop(extendedprice) OVER () AS e, (discount - avg(discount) OVER ()) / stddev_pop(discount) OVER () AS d FROM parts),
+  x AS (SELECT 'quantity' AS parameter, particle, quantity AS x, e, d FROM z UNION ALL SELECT 'tax', particle, tax, e, d FROM z),
+  r AS (SELECT a.parameter, a.particle, any_value(a.x) AS x, any_value(a.e) AS e, any_value(a.d) AS d, min(sqrt(pow(a.x - b.x, 2) + pow(a.e - b.e, 2) + pow(a.d - b.d, 2)), 3)[3] * (1 - 1e-10) AS r FROM x a JOIN x b ON a.parameter = b.parameter AND a.particle <> b.particle GROUP BY ALL),
+  c AS (SELECT r.parameter, r.particle, count_if(abs(r.x - b.x) < r.r) AS nx, count_if(sqrt(pow(r.e - b.e, 2) + pow(r.d - b.d, 2)) < r.r) AS ny FROM r JOIN x b ON r.parameter = b.parameter GROUP BY ALL),
+  m AS (SELECT parameter, count(*) AS n, avg(p.psi) AS px, avg(q.psi) AS py FROM c JOIN psi p ON p.n = nx + 1 JOIN psi q ON q.n = ny + 1 GROUP BY parameter)
+  SELECT parameter, m.n AS n, round(greatest(0, 1.5 - 0.57721566490153286061 - px - py + z.psi), 6) AS mi FROM m JOIN psi z ON z.n = m.n"""
 
 
-@query("joint_mutual_information")
+@query("joint_mutual_information", sql("parts", _JOINT))
 def joint_mutual_information(spark, sf):
-    return D.joint_mutual_information(parts(spark, sf), "particle", ["quantity", "tax"], ["extendedprice", "discount"])
+    return rounded(D.joint_mutual_information(parts(spark, sf), "particle", ["quantity", "tax"], ["extendedprice", "discount"]), 6)
 
 
 def _mi(spark, sf):

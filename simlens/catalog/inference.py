@@ -44,39 +44,40 @@ def first_split_large_groups(spark, sf):
 
 @query("forest_weights")
 def forest_weights(spark, sf):
-    w = Fo.forest_weights(cut(parts(spark, sf)), _observed(spark), "particle", ["p_size", "extendedprice"], _ST, trees=10)
-    return Wt.effective_size(w, [])
+    w = Fo.forest_weights(cut(parts(spark, sf)), _observed(spark), "particle", ["p_size", "extendedprice"], _ST)
+    return w
 
 
 @query("forest_weights_cosine")
 def forest_weights_cosine(spark, sf):
-    w = Fo.forest_weights(cut(parts(spark, sf)), _observed(spark), "particle", ["p_size", "p_retailprice"], _ST, trees=4, criterion="mmd", features=6)
-    return Wt.effective_size(w, [])
+    w = Fo.forest_weights(cut(parts(spark, sf)), _observed(spark), "particle", ["p_size", "p_retailprice"], _ST, criterion="mmd")
+    return w
 
 
 @query("univariate_forest_weights")
 def univariate_forest_weights(spark, sf):
-    w = Fo.univariate_weights(cut(parts(spark, sf)), _observed(spark), "particle", ["p_size", "p_retailprice"], _ST, trees=6, min_leaf=60)
-    return Wt.effective_size(w, [])
+    w = Fo.univariate_weights(cut(parts(spark, sf)), _observed(spark), "particle", ["p_size", "p_retailprice"], _ST)
+    return w
 
 
 @query("split_frequency")
 def split_frequency(spark, sf):
-    nodes, _ = Fo.grow(cut(parts(spark, sf)), _observed(spark), "particle", ["p_size", "extendedprice"], _ST, trees=4, min_leaf=60, full=True)
+    nodes, _ = Fo.grow(cut(parts(spark, sf)), _observed(spark), "particle", ["p_size", "extendedprice"], _ST, full=True)
     return Fo.split_frequency(nodes, _ST)
 
 
-_DIRS = S.direction_numbers(3)
-_VALUES = ", ".join(f"({d}, {b}, {v})" for d, row in enumerate(_DIRS) for b, v in enumerate(row))
+# Direction numbers of the first three dimensions, from their recurrences, with 30 bits.
+_VALUES = """RECURSIVE m(b, x, y, z) AS (SELECT 0, 1::BIGINT, 1::BIGINT, 3::BIGINT UNION ALL SELECT b + 1, xor(2 * x, x), z, xor(xor(2 * z, 4 * y), y) FROM m WHERE b < 29),
+  v(d, b, v) AS (SELECT 0, b, 1::BIGINT << (29 - b) FROM m UNION ALL SELECT 1, b, x << (29 - b) FROM m UNION ALL SELECT 2, b, y << (29 - b) FROM m)"""
 
 
-@query("sobol_points", f"""WITH v(d, b, v) AS (VALUES {_VALUES}), g AS (SELECT p_partkey AS i, xor(p_partkey, p_partkey >> 1) AS g FROM part), w AS (SELECT i, d, coalesce(bit_xor(v) FILTER ((g >> b) & 1 = 1), 0) / 1073741824.0::DOUBLE AS x FROM g, v GROUP BY i, d)
+@query("sobol_points", f"""WITH {_VALUES}, g AS (SELECT p_partkey AS i, xor(p_partkey, p_partkey >> 1) AS g FROM part), w AS (SELECT i, d, coalesce(bit_xor(v) FILTER ((g >> b) & 1 = 1), 0) / 1073741824.0::DOUBLE AS x FROM g, v GROUP BY i, d)
   SELECT i AS p_partkey, max(x) FILTER (d = 0) AS a, max(x) FILTER (d = 1) AS b, max(x) FILTER (d = 2) AS c FROM w GROUP BY i""")
 def sobol_points(spark, sf):
     return S.sobol(table(spark, sf, "part").select("p_partkey"), "p_partkey", ["a", "b", "c"])
 
 
-@query("spec_samples", f"""WITH v(d, b, v) AS (VALUES {_VALUES}), g AS (SELECT p_partkey AS i, xor(p_partkey, p_partkey >> 1) AS g FROM part), w AS (SELECT i, d, coalesce(bit_xor(v) FILTER ((g >> b) & 1 = 1), 0) / 1073741824.0::DOUBLE AS x FROM g, v GROUP BY i, d),
+@query("spec_samples", f"""WITH {_VALUES}, g AS (SELECT p_partkey AS i, xor(p_partkey, p_partkey >> 1) AS g FROM part), w AS (SELECT i, d, coalesce(bit_xor(v) FILTER ((g >> b) & 1 = 1), 0) / 1073741824.0::DOUBLE AS x FROM g, v GROUP BY i, d),
   p AS (SELECT i, max(x) FILTER (d = 0) AS a, max(x) FILTER (d = 1) AS b FROM w GROUP BY i) SELECT i AS p_partkey, round(2 + 5 * a, 6) AS a, (['x', 'y', 'z'])[least(floor(b * 3), 2)::INTEGER + 1] AS b FROM p""")
 def spec_samples(spark, sf):
     points = S.sobol(table(spark, sf, "part").select("p_partkey"), "p_partkey", ["a", "b"])
@@ -151,7 +152,7 @@ def sequential_inference(spark, sf):
     """Particles are parts; the statistic of a draw comes from the observed regression of quantity on tax."""
     fit = parts(spark, sf).agg(F.regr_slope("quantity", "tax").alias("b"), F.regr_intercept("quantity", "tax").alias("a"), F.count(F.lit(1)).alias("n"))
     fit = cut(fit)
-    n = max(64, fit.first()["n"] // 8)
+    n = fit.first()["n"]
 
     def simulate(df, seed):
         return df.join(F.broadcast(fit), F.lit(True)).select("particle", (F.col("a") + F.col("b") * F.col("x") + X.normal(seed, F.lit("y"), "particle") * 0.01).alias("y"))
@@ -160,5 +161,6 @@ def sequential_inference(spark, sf):
         sampler=lambda s, k, seed: S.sobol_design(s, k, {"x": (0.0, 0.1)}, seed),
         simulate=simulate, density=lambda: X.uniform_density({"x": (0.0, 0.1)}),
         kernel=lambda df, t, seed: S.perturb(df, {"x": (0.0, 0.1)}, S.kernel_width(t, 2), seed, ["draw"]),
-        root=f"{checkpoint_root(spark).rstrip('/')}/smc-{uuid.uuid4().hex}", n=int(n), generations=2, forest={"trees": 6})
-    return smc.run_smc(spark, run)["ess"]
+        root=f"{checkpoint_root(spark).rstrip('/')}/smc-{uuid.uuid4().hex}", n=int(n), generations=2)
+    out = smc.run_smc(spark, run)
+    return out["particles"].join(out["weights"].select("particle", "weight"), "particle").join(out["lineage"], "particle")

@@ -171,10 +171,10 @@ def component_round_trip(spark, sf):
 @query("posterior_peaks")
 def posterior_peaks(spark, sf):
     emb = table(spark, sf, "embeddings")
-    dims = [f"d{i}" for i in range(1, 6)]
+    dims = [f"d{i}" for i in range(1, 65)]
     df = emb.select("vec_id", *[F.element_at("embedding", i).cast("double").alias(d) for i, d in enumerate(dims, 1)])
     points, _, _ = M.posterior_peaks(df, dims)
-    return points.groupBy("peak").agg(F.count(F.lit(1)).alias("members"))
+    return points.select("vec_id", "peak")
 
 
 @query("representatives")
@@ -210,7 +210,7 @@ def threshold_sweep(spark, sf):
 
 @query("bootstrap_peaks")
 def bootstrap_peaks(spark, sf):
-    return M.bootstrap_peaks(_cloud(spark, sf), "particle", _centres(spark), 5, 11, 2000, weight="n_lines", size=50)
+    return M.bootstrap_peaks(_cloud(spark, sf), "particle", _centres(spark), 200, 11, 2000, weight="n_lines", size=50)
 
 
 @query("group_permutations", sql("parts", "SELECT permutation, grp, count(*) AS n FROM parts, range(0, 4) t(permutation) GROUP BY ALL"))

@@ -37,7 +37,12 @@ def graph_components(spark, sf):
     return R.components(_edges(spark, sf), ["grp"])
 
 
-@query("component_roots")
+_ROOTS = _COMP.replace("SELECT grp, node, min(seen) AS component FROM walk GROUP BY ALL", """, comp AS (SELECT grp, node, min(seen) AS component FROM walk GROUP BY ALL),
+  ends AS (SELECT grp, a AS node, r FROM edges UNION ALL SELECT grp, b, r FROM edges), deg AS (SELECT grp, node, count(*) AS degree, avg(r) AS mean_r FROM ends GROUP BY ALL)
+  SELECT grp, component, first(node ORDER BY degree DESC, mean_r DESC, node) AS root, count(*) AS size FROM comp JOIN deg USING (grp, node) GROUP BY grp, component""").replace(") , comp AS", "), comp AS")
+
+
+@query("component_roots", _ROOTS)
 def component_roots(spark, sf):
     e = cut(_edges(spark, sf))
     return R.component_roots(e, R.components(e, ["grp"]), ["grp"])
@@ -141,22 +146,22 @@ def top_parameters(spark, sf):
 
 @query("forest_importance")
 def forest_importance(spark, sf):
-    return Le.forest_importance(_wide(spark, sf), ["quantity", "tax", "p_size"], "q2", trees=10)[0]
+    return Le.forest_importance(_wide(spark, sf), ["quantity", "tax", "p_size"], "q2")[0]
 
 
 @query("variance_sensitivity")
 def variance_sensitivity(spark, sf):
     w = cut(_wide(spark, sf))
-    _, model = Le.forest_importance(w, ["quantity", "tax", "p_size"], "q2", trees=10)
-    return Le.variance_sensitivity(w, model, ["quantity", "tax", "p_size"], 256, True)
+    _, model = Le.forest_importance(w, ["quantity", "tax", "p_size"], "q2")
+    return Le.variance_sensitivity(w, model, ["quantity", "tax", "p_size"], second_order=True)
 
 
 @query("sparse_scores")
 def sparse_scores(spark, sf):
-    return Le.sparse_scores(cut(_wide(spark, sf)), ["quantity", "tax", "p_size"], "q2", folds=3, strengths=(0.01, 0.1))
+    return Le.sparse_scores(cut(_wide(spark, sf)), ["quantity", "tax", "p_size"], "q2")
 
 
 @query("behaviour_clusters")
 def behaviour_clusters(spark, sf):
     out = Le.behaviour_clusters(cut(parts(spark, sf)), "particle", ["quantity", "extendedprice"], 3)
-    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("particle", "cluster")

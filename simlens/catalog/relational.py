@@ -156,10 +156,11 @@ def sorted_by_number(spark, sf):
     return O.running(named.withColumn("number", embedded_number("input_folder")), [], ["number"], "place").select("p_partkey", "place")
 
 
-@query("combined_digest", sql("", "SELECT count(*) AS files, 64 AS length FROM documents"))
+@query("combined_digest", sql("", """WITH f AS (SELECT doc_id::VARCHAR AS o, sha256(text) AS d FROM documents), l AS (SELECT substr(sha256(o), 1, 2) AS b, sha256(string_agg(d, chr(10) ORDER BY o)) AS d FROM f GROUP BY 1),
+  i AS (SELECT substr(b, 1, 1) AS b, sha256(string_agg(d, chr(10) ORDER BY b)) AS d FROM l GROUP BY substr(b, 1, 1)) SELECT count(*) AS files, (SELECT sha256(string_agg(d, chr(10) ORDER BY b)) FROM i) AS sha256 FROM documents"""))
 def combined_digest(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    return S.combined_digest(d).join(d.agg(F.count(F.lit(1)).alias("files")), F.lit(True)).select("files", F.length("sha256").alias("length"))
+    return S.combined_digest(d, levels=2).join(d.agg(F.count(F.lit(1)).alias("files")), F.lit(True)).select("files", "sha256")
 
 
 @query("trajectory_sample", sql("", "SELECT 20 AS trajectories, true AS whole"))

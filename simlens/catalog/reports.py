@@ -237,9 +237,20 @@ def scenario_tests(spark, sf):
     return E.scenario_tests(table(spark, sf, "events"), [], "event_type", "value").select("first", "second", "u")
 
 
-@query("scenario_test_p_values")
+# erfc by its series below 2 and by its continued fraction above
+_MWP = _MW.replace("\n  SELECT first, second, sum(", """,
+  t AS (SELECT first, second, sum(c * c * c - c)::DOUBLE AS ties, sum(c)::DOUBLE AS n FROM (SELECT first, second, value, count(*)::DOUBLE AS c FROM x GROUP BY ALL) GROUP BY ALL),
+  u AS (SELECT first, second, count_if(event_type = first)::DOUBLE AS n1, sum(""").replace(" AS u FROM k GROUP BY first, second", """ AS u FROM k GROUP BY first, second),
+  z AS (SELECT first, second, u, greatest(0, (abs(u - n1 * (n - n1) / 2) - 0.5) / sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1))))) AS z FROM u JOIN t USING (first, second)),
+  p AS (SELECT *, z / sqrt(2::DOUBLE) AS q, CASE WHEN z / sqrt(2::DOUBLE) < 2 THEN 1 - 2 / sqrt(pi()) * list_sum([CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END * pow(z / sqrt(2::DOUBLE), 2 * i + 1) / (gamma(i + 1.0) * (2 * i + 1)) for i in range(0, 60)])
+    ELSE exp(-z * z / 2) / sqrt(pi()) / list_reduce(list_prepend(z / sqrt(2::DOUBLE), [(80 - i)::DOUBLE for i in range(0, 80)]), lambda f, i: z / sqrt(2::DOUBLE) + i / 2 / f) END AS p FROM z)
+  SELECT first, second, u, round(z, 6) AS z, round(p, 8) AS p, p < 0.05 / (SELECT count(*) FROM pr) AS significant FROM p""")
+
+
+@query("scenario_test_p_values", sql("", _MWP))
 def scenario_test_p_values(spark, sf):
-    return E.scenario_tests(table(spark, sf, "events"), [], "event_type", "value")
+    out = E.scenario_tests(table(spark, sf, "events"), [], "event_type", "value")
+    return out.withColumn("z", F.round("z", 6)).withColumn("p", F.round("p", 8))
 
 
 @query("pairwise_metrics", sql("parts", " UNION ALL ".join(

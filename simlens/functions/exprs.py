@@ -174,15 +174,50 @@ def poisson_one(seed: int, *ids) -> Column:
     return poisson(1.0, seed, *ids)
 
 
-def poisson(mean: float, seed: int, *ids, top: int = 40) -> Column:
-    """Poisson draw by inversion: number of cumulative probabilities not above the uniform."""
-    cumulative, term, acc = [], math.exp(-mean), 0.0
-    for k in range(top):
+def poisson_steps(mean: float) -> list[float]:
+    """Cumulative probabilities of a Poisson variable until the rest is below the resolution of a uniform."""
+    if not 0 <= mean <= 700:
+        raise ValueError("the Poisson mean must lie between 0 and 700")
+    out, term, acc, k = [], math.exp(-mean), 0.0, 0
+    while k <= mean or term > 2.0 ** -60:
         acc += term
-        cumulative.append(acc)
-        term *= mean / (k + 1)
+        out.append(acc)
+        k += 1
+        term *= mean / k
+    return out
+
+
+def poisson(mean: float, seed: int, *ids) -> Column:
+    """Poisson draw by inversion: number of cumulative probabilities not above the uniform."""
     u = uniform(seed, *ids)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cumulative]), lambda c: c <= u))
+    return F.size(F.filter(F.array(*[F.lit(c) for c in poisson_steps(mean)]), lambda c: c <= u))
+
+
+# --- the same draws for numpy code inside tasks: ids are (format, value) pairs or strings ------------
+
+def hash_of(*ids) -> int:
+    """The signed 64-bit hash that ``xxhash64`` gives for int ("i"), bigint ("q") and string values."""
+    import struct
+
+    import xxhash
+    h = 42
+    for own in ids:
+        h = xxhash.xxh64_intdigest(own.encode() if isinstance(own, str) else struct.pack("<" + own[0], int(own[1])), h)
+    return h - 2 ** 64 if h >= 2 ** 63 else h
+
+
+def uniform_of(seed: int, *ids) -> float:
+    return (hash_of(("i", seed), *ids) % (1 << 53)) / float(1 << 53)
+
+
+def normal_of(seed: int, *ids) -> float:
+    u1 = max(uniform_of(seed, "r", *ids), 2.0 ** -53)
+    return math.sqrt(-2.0 * math.log(u1)) * math.cos(2.0 * math.pi * uniform_of(seed, "a", *ids))
+
+
+def poisson_of(mean: float, seed: int, *ids) -> int:
+    u = uniform_of(seed, *ids)
+    return sum(c <= u for c in poisson_steps(mean))
 
 
 # --- special functions ------------------------------------------------------------------------------

@@ -27,10 +27,14 @@ def moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), wei
         cells = {(i, j): F.covar_pop(columns[i], columns[j]) for i in range(p) for j in range(i, p)}
         means = [F.avg(c) for c in columns]
     else:
+        # products are taken around the plain group means, so large offsets do not cancel
+        complete = attach(complete, keys, **{f"__m{i}": F.avg(c) for i, c in enumerate(columns)})
         w = F.col(weight)
         total = F.sum(w)
-        means = [F.try_divide(F.sum(w * F.col(c)), total) for c in columns]
-        cells = {(i, j): F.try_divide(F.sum(w * F.col(columns[i]) * F.col(columns[j])), total) - means[i] * means[j]
+        apart = [F.col(c) - F.col(f"__m{i}") for i, c in enumerate(columns)]
+        shift = [F.try_divide(F.sum(w * e), total) for e in apart]
+        means = [F.first(f"__m{i}") + s for i, s in enumerate(shift)]
+        cells = {(i, j): F.try_divide(F.sum(w * apart[i] * apart[j]), total) - shift[i] * shift[j]
                  for i in range(p) for j in range(i, p)}
     return complete.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.array(*means).alias("mean"),
@@ -389,11 +393,10 @@ def rank_agreement(compared: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.bool_or((F.col("rank_left") == 1) & (F.col("rank_right") == 1)).alias("same_top"))
 
 
-def stable_parameters(ranks: DataFrame, keys: Sequence[str], levels: Sequence, absent: int = 999, tolerance: int = 1) -> DataFrame:
-    """Parameters whose rank moves at most ``tolerance`` over all levels; a missing level counts as a very large rank."""
+def stable_parameters(ranks: DataFrame, keys: Sequence[str], levels: Sequence, tolerance: int = 1) -> DataFrame:
+    """Parameters whose rank moves at most ``tolerance`` over all levels; one that misses a level is not stable."""
     out = ranks.groupBy(*keys, "parameter").agg(F.min("rank").alias("__lo"), F.max("rank").alias("__hi"), F.count_distinct("level").alias("__n"))
-    hi = F.when(F.col("__n") < len(levels), F.lit(absent)).otherwise(F.col("__hi"))
-    return out.select(*keys, "parameter", (hi - F.col("__lo") <= tolerance).alias("stable"))
+    return out.select(*keys, "parameter", ((F.col("__n") >= len(levels)) & (F.col("__hi") - F.col("__lo") <= tolerance)).alias("stable"))
 
 
 # --- suitability ----------------------------------------------------------------------------------------

@@ -351,6 +351,10 @@ def best_summed_error(long: DataFrame, targets: DataFrame, keys: Sequence[str],
     return keys_equal(joined.select(*keys, ident, "metric", "error_pct"), best, [*keys, ident])
 
 
+#: Scenarios that a pairwise comparison may have; more are refused, none are dropped.
+MOST_SCENARIOS = 200
+
+
 def scenario_tests(long: DataFrame, keys: Sequence[str], scenario: str, value: str, bound: int | None = None) -> DataFrame:
     """Two-sided Mann-Whitney test of every scenario pair with tie correction and a Bonferroni cut.
 
@@ -359,7 +363,9 @@ def scenario_tests(long: DataFrame, keys: Sequence[str], scenario: str, value: s
     """
     present = long.where(F.col(value).isNotNull())
     counts = present.groupBy(*keys, scenario, value).agg(F.count(F.lit(1)).alias("c"))
-    names = [r[0] for r in present.select(scenario).distinct().orderBy(scenario).collect()]
+    names = [r[0] for r in present.select(scenario).distinct().orderBy(scenario).limit(MOST_SCENARIOS + 1).collect()]
+    if len(names) > MOST_SCENARIOS:
+        raise ValueError(f"more than {MOST_SCENARIOS} scenarios to compare pair by pair")
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
     table = literal_table(
         present.sparkSession, [(a, b, s) for a, b in pairs for s in (a, b)], f"first {_type(long, scenario)}, second {_type(long, scenario)}, __s {_type(long, scenario)}")

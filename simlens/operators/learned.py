@@ -17,11 +17,11 @@ from simlens.operators.sampling import sobol
 from simlens.session import literal_table
 
 
-def forest_importance(df: DataFrame, parameters: Sequence[str], metric: str, trees: int = 100, seed: int = 42):
-    """(importance table, fitted model) of a regression forest for one metric."""
+def forest_importance(df: DataFrame, parameters: Sequence[str], metric: str, trees: int = 100, seed: int = 42, depth: int = 30):
+    """(importance table, fitted model) of a regression forest for one metric; ``depth`` is the deepest that MLlib grows by default here."""
     data = drop_invalid_rows(df, [*parameters, metric])
     rows = VectorAssembler(inputCols=list(parameters), outputCol="features").transform(data)
-    model = RandomForestRegressor(featuresCol="features", labelCol=metric, numTrees=trees, seed=seed, maxDepth=8).fit(rows)
+    model = RandomForestRegressor(featuresCol="features", labelCol=metric, numTrees=trees, seed=seed, maxDepth=depth).fit(rows)
     scores = model.featureImportances.toArray()
     table = literal_table(df.sparkSession, [(metric, p, float(s)) for p, s in zip(parameters, scores)], "metric string, parameter string, importance double")
     return table, model
@@ -52,8 +52,8 @@ def variance_sensitivity(df: DataFrame, model, parameters: Sequence[str], base:
         rows = rows.withColumn(p, float(box[f"{p}__lo"]) + F.when(from_b, b).otherwise(a) * float(box[f"{p}__hi"] - box[f"{p}__lo"]))
     y = model.transform(VectorAssembler(inputCols=list(parameters), outputCol="features").transform(rows)).select("__i", "block", F.col("prediction").alias("y"))
     wide = y.groupBy("__i").agg(*[F.max(F.when(F.col("block") == b, F.col("y"))).alias(b) for b in blocks])
-    mean = F.avg((F.col("A") + F.col("B")) / 2)
-    var = F.avg((F.col("A") * F.col("A") + F.col("B") * F.col("B")) / 2) - mean * mean
+    # variance of both base blocks together: their own variances and the spread of their means
+    var = (F.var_pop("A") + F.var_pop("B")) / 2 + F.pow((F.avg("A") - F.avg("B")) / 2, F.lit(2.0))
     one = [F.try_divide(F.avg(F.col("B") * (F.col(f"AB{i}") - F.col("A"))), var) for i in range(d)]
     total = [F.try_divide(F.avg(F.pow(F.col("A") - F.col(f"AB{i}"), F.lit(2.0))) / 2, var) for i in range(d)]
     cells = [F.struct(F.lit(p).alias("parameter"), F.lit(None).cast("string").alias("other"), one[i].alias("s1"), total[i].alias("st"), F.lit(None).cast("double").alias("s2")) for i, p in enumerate(parameters)]
@@ -67,9 +67,18 @@ def variance_sensitivity(df: DataFrame, model, parameters: Sequence[str], base:
 
 
 def sparse_scores(df: DataFrame, parameters: Sequence[str], metric: str, folds: int = 5, seed: int = 0,
-                  strengths: Sequence[float] = (0.001, 0.01, 0.1, 1.0)) -> DataFrame:
-    """|coefficient| of a cross-validated L1 regression on standardised parameters."""
+                  shares: Sequence[float] = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0)) -> DataFrame:
+    """|coefficient| of a cross-validated L1 regression of the standardised metric on standardised parameters.
+
+    Strengths are shares of the largest absolute correlation, at which all coefficients vanish.
+    """
     data = drop_invalid_rows(df, [*parameters, metric])
+    spread = data.agg(F.avg(metric).alias("m"), F.stddev_samp(metric).alias("s"), *[F.corr(p, metric).alias(f"r{i}") for i, p in enumerate(parameters)]).first()
+    known = [abs(spread[f"r{i}"]) for i in range(len(parameters)) if spread[f"r{i}"] is not None and spread[f"r{i}"] == spread[f"r{i}"]]
+    if not known or not spread["s"] or max(known) == 0:
+        return literal_table(df.sparkSession, [(metric, p, 0.0) for p in parameters], "metric string, parameter string, score double")
+    strengths = [max(known) * share for share in shares]
+    data = data.withColumn(metric, (F.col(metric) - float(spread["m"])) / float(spread["s"]))
     raw = VectorAssembler(inputCols=list(parameters), outputCol="raw").transform(data)
     rows = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(raw).transform(raw)
     lasso = LinearRegression(featuresCol="features", labelCol=metric, elasticNetParam=1.0, standardization=False)

@@ -22,9 +22,11 @@ RANGE_ROWS = 200_000        # groups up to this many rows are one range
 
 
 def keys_equal(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on keys where NULL equals NULL; a global (no keys) join meets one row."""
+    """Equi-join on keys where NULL equals NULL; without keys the right side must be one row, or none."""
     if not keys:
-        return left.join(F.broadcast(right), F.lit(True), "left" if how == "left" else "inner")  # right: one row
+        one = right.agg(*[F.first(c).alias(c) for c in right.columns], F.count(F.lit(1)).alias("__rows"))
+        held = F.when(F.col("__rows") <= 1, F.col("__rows") == 1).otherwise(F.raise_error(F.lit("a join without keys met several rows")).cast("boolean"))
+        return left.join(F.broadcast(one.where(held).drop("__rows")), F.lit(True), "left" if how == "left" else "inner")
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                            *[c for c in right.columns if c not in keys])
     condition = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]

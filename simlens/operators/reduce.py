@@ -38,12 +38,12 @@ def correlation_edges(df: DataFrame, columns: Sequence[str], threshold: float, k
     return from_moments(moments(df, names, keys), keys, edges, "a string, b string, r double")
 
 
-def components(edges: DataFrame, keys: Sequence[str] = (), limit: int = 64) -> DataFrame:
+def components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, node, component): smallest reachable name, by passing labels along edges until none changes."""
     both = cut(edges.select(*keys, F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
         edges.select(*keys, F.col("b").alias("node"), F.col("a").alias("other"))))
     labels = cut(both.select(*keys, "node").distinct().withColumn("component", F.col("node")))
-    for _ in range(limit):
+    while True:          # a label moves at least one edge a round, so this ends
         seen = keys_equal(both, labels.withColumnRenamed("node", "other"), [*keys, "other"])
         best = seen.groupBy(*keys, "node").agg(F.min("component").alias("__best"))
         step = cut(keys_equal(labels, best, [*keys, "node"], "left").withColumn("__new", F.least("component", F.coalesce("__best", F.col("component")))))
@@ -51,7 +51,6 @@ def components(edges: DataFrame, keys: Sequence[str] = (), limit: int = 64) -> D
         labels = step.select(*keys, "node", F.col("__new").alias("component"))
         if not changed:
             return labels
-    raise RuntimeError("labels still change: the graph has a longer chain than the limit")
 
 
 def component_roots(edges: DataFrame, labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -127,20 +126,19 @@ def prediction_quality(df: DataFrame, pairs: dict[str, str], keys: Sequence[str]
     return df.groupBy(*keys).agg(F.array(*cells).alias("__c")).select(*keys, F.explode("__c").alias("__c")).select(*keys, "__c.*")
 
 
-def prediction_paths(models: DataFrame, keys: Sequence[str] = (), limit: int = 64) -> DataFrame:
+def prediction_paths(models: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """All paths root -> ... -> parameter through the model table: (root, node, path, r2s), cycle-safe."""
     targets = models.select(*keys, F.col("target").alias("predictor")).distinct()
     roots = models.select(*keys, "predictor").distinct().join(targets, [*keys, "predictor"], "left_anti")
     edge = cut(models.select(*keys, F.col("predictor").alias("node"), F.col("target").alias("__next"), F.col("r2").alias("__r2")))
     front = roots.select(*keys, F.col("predictor").alias("root"), F.col("predictor").alias("node"), F.array("predictor").alias("path"), F.array().cast("array<double>").alias("r2s"))
     out = front
-    for _ in range(limit):
+    while True:          # paths visit no node twice, so this ends
         step = keys_equal(front, edge, [*keys, "node"]).where(~F.array_contains("path", F.col("__next")))
         front = cut(step.select(*keys, "root", F.col("__next").alias("node"), F.concat("path", F.array("__next")).alias("path"), F.concat("r2s", F.array("__r2")).alias("r2s")))
         if front.isEmpty():
             return out
         out = out.unionByName(front)
-    raise RuntimeError("prediction paths are longer than the limit")
 
 
 def parameter_chains(pairs: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
@@ -322,7 +320,7 @@ def loading_importance(df: DataFrame, columns: Sequence[str], components_used: i
 
 
 def redundancy_groups(df: DataFrame, columns: Sequence[str], threshold: float = 0.7, method: str = "loading_similarity", keys: Sequence[str] = (),
-                      explained: float = 0.8, most: int = 10) -> DataFrame:
+                      explained: float = 0.8, most: int | None = None) -> DataFrame:
     """Groups of parameters with alike weighted loadings (Ward) or linked correlations: (group, parameter, similarity, representative).
 
     ``similarity`` is the mean similarity to the other members; the representative has the largest one.
@@ -335,7 +333,8 @@ def redundancy_groups(df: DataFrame, columns: Sequence[str], threshold: float =
         r, v, q = _loadings(cov)
         if method == "loading_similarity":
             share = v / v.sum()
-            k = min(int(np.argmax(np.cumsum(share) >= explained)) + 1, most)
+            k = int(np.argmax(np.cumsum(share) >= explained)) + 1
+            k = k if most is None else min(k, most)
             if k < 2:
                 return []
             weighted = q[:, :k] * np.sqrt(share[:k])

@@ -15,7 +15,7 @@ from simlens.operators.reduce import apply_models
 from simlens.operators.weights import resample
 from simlens.session import cut
 
-BITS = 30
+BITS = 52           # exact in a double
 
 # Initial direction numbers of the first Sobol dimensions after the first (Joe and Kuo 2008).
 INITIAL = [
@@ -63,10 +63,12 @@ def _times(a: int, b: int, poly: int, degree: int) -> int:
 
 def direction_numbers(dims: int) -> list[list[int]]:
     """Direction numbers per dimension, scaled to BITS bits; the first dimension is plain bit reversal."""
+    if dims > len(INITIAL) + 1:
+        raise ValueError(f"direction numbers are given for {len(INITIAL) + 1} dimensions")
     out = [[1 << (BITS - 1 - b) for b in range(BITS)]]
     for d, poly in enumerate(_primitive_polynomials(max(dims - 1, 1))[:dims - 1]):
         s = poly.bit_length() - 1
-        m = list(INITIAL[d]) if d < len(INITIAL) else [((37 * (d + 1) * (j + 1)) % (1 << (j + 1))) | 1 for j in range(s)]
+        m = list(INITIAL[d])
         while len(m) < BITS:
             k = len(m)
             new = m[k - s] ^ (m[k - s] << s)
@@ -142,22 +144,26 @@ def mixed_design(spark: SparkSession, specs: dict, per_combination: int, seed: i
 
 
 def constrained_prior(spark: SparkSession, n: int, rates: dict, pair: dict, seed: int, limit: float = 1.0, ident: str = "particle") -> DataFrame:
-    """n draws: log-uniform rates, and a uniform pair redrawn until it sums to at most ``limit``.
+    """n draws: log-uniform rates, and a pair uniform on the part of its box where it sums to at most ``limit``.
 
-    Each particle has its own sequence of attempts, so no round depends on the others.
+    The first of the pair comes from its marginal by inverting the area, the second is uniform in what is left.
     """
     df = spark.range(n).withColumnRenamed("id", ident)
     df = df.withColumns({p: F.exp(math.log(lo) + X.uniform(seed, F.lit(p), ident) * (math.log(hi) - math.log(lo))) for p, (lo, hi) in rates.items()})
     (a, (alo, ahi)), (b, (blo, bhi)) = pair.items()
 
-    def attempt(k):
-        return F.struct(scale(X.uniform(seed, F.lit(a), ident, k), alo, ahi).alias("a"), scale(X.uniform(seed, F.lit(b), ident, k), blo, bhi).alias("b"))
-    tries = F.transform(F.sequence(F.lit(0), F.lit(63)), attempt)
-    ok = F.filter(tries, lambda t: t["a"] + t["b"] <= limit)
-    out = df.withColumn("__ok", ok)
-    first = F.when(F.size("__ok") > 0, F.element_at("__ok", 1)).otherwise(F.raise_error(F.lit("the pair constraint leaves too little of the box")))
-    return out.withColumn("__t", F.element_at("__ok", 1)).where(F.coalesce(F.col("__t").isNotNull(), first.isNotNull())) \
-        .select(*df.columns, F.col("__t.a").alias(a), F.col("__t.b").alias(b))
+    full = min(max(limit - bhi, alo), ahi)          # up to here all of the second range is open
+    last = min(max(limit - blo, alo), ahi)          # from here on none is
+    height = bhi - blo
+    whole, slanted = (full - alo) * height, (limit - blo) * (last - full) - (last ** 2 - full ** 2) / 2
+    if whole + slanted <= 0:
+        raise ValueError("the pair constraint leaves nothing of the box")
+    area = X.uniform(seed, F.lit(a), ident) * (whole + slanted)
+    top = limit - blo - full                        # open length where the slant begins
+    rest = F.greatest(F.lit(top * top) - 2 * (area - whole), F.lit(0.0))
+    first = F.when(area < whole, alo + area / (height or 1.0)).otherwise(full + top - F.sqrt(rest))
+    out = df.withColumn(a, F.least(F.greatest(first, F.lit(float(alo))), F.lit(float(last))))
+    return out.withColumn(b, blo + X.uniform(seed, F.lit(b), ident) * (F.least(F.lit(float(bhi)), limit - F.col(a)) - blo))
 
 
 def from_densities(df: DataFrame, columns: Sequence[str], n: int, seed: int, ident: str) -> DataFrame:

@@ -30,7 +30,7 @@ def subset_errors(df: DataFrame, keys: Sequence[str], index: str, value: str, n:
             s, m = F.array_sort(v), F.size(v)
             return (F.element_at(s, F.floor((m + 1) / 2).cast("int")) + F.element_at(s, F.floor(m / 2).cast("int") + 1)) / 2
         mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
-        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) / F.size(v) - mean * mean)
+        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(v))
     errors = F.transform(choices, lambda c: F.abs(estimate(F.transform(c, lambda i: F.element_at("__v", i))) - estimate(F.col("__v"))))
     long = packed.select(*keys, estimate(F.col("__v")).alias("reference"), F.explode(errors).alias("error"))
     q = quantiles(long, keys, "error", [0.5, 0.95], "__q")

@@ -40,12 +40,16 @@ def effective_size(df: DataFrame, keys: Sequence[str], weight: str = "weight") -
 
 def weighted_geometry(df: DataFrame, keys: Sequence[str], columns: Sequence[str], weight: str = "weight",
                       reference: dict[str, float] | None = None) -> DataFrame:
-    """Weighted centroid, trace of the weighted covariance and distance to a reference centroid, in one pass."""
+    """Weighted centroid, trace of the weighted covariance and distance to a reference centroid.
+
+    Squares are taken around the plain group means, so large offsets do not cancel.
+    """
     w, total = F.col(weight), F.sum(weight)
-    centre = {c: F.try_divide(F.sum(w * F.col(c)), total) for c in columns}
-    out = df.groupBy(*keys).agg(*[e.alias(f"centre_{c}") for c, e in centre.items()],
-                                *[F.try_divide(F.sum(w * F.col(c) * F.col(c)), total).alias(f"__q_{c}") for c in columns])
-    trace = sum((F.col(f"__q_{c}") - F.pow(F.col(f"centre_{c}"), F.lit(2.0)) for c in columns), F.lit(0.0))
+    around = attach(df, keys, **{f"__m_{c}": F.avg(c) for c in columns})
+    apart = {c: F.col(c) - F.col(f"__m_{c}") for c in columns}
+    out = around.groupBy(*keys).agg(*[(F.first(f"__m_{c}") + F.try_divide(F.sum(w * e), total)).alias(f"centre_{c}") for c, e in apart.items()],
+                                    *[(F.try_divide(F.sum(w * e * e), total) - F.pow(F.try_divide(F.sum(w * e), total), F.lit(2.0))).alias(f"__q_{c}") for c, e in apart.items()])
+    trace = sum((F.col(f"__q_{c}") for c in columns), F.lit(0.0))
     out = out.withColumn("trace", F.greatest(trace, F.lit(0.0)))
     if reference:
         d2 = sum((F.pow(F.col(f"centre_{c}") - float(v), F.lit(2.0)) for c, v in reference.items()), F.lit(0.0))
@@ -76,10 +80,14 @@ def resample(df: DataFrame, n: int, seed: int, ident: str, keys: Sequence[str] =
     into each slice, so a slice with a third of all draws is repeated row by row, never joined pair by pair.
     ``uniforms``: optional (keys, draw, u) table; otherwise u is a hash of seed, group and draw.
     """
-    positive = df.where(F.col(weight) > 0)
-    slices = running(positive, keys, [ident], number=None, sums={"__hi": F.col(weight)}, bound=bound)
-    slices = attach(slices, keys, __t=F.sum(weight), __last=F.max(ident)).withColumn(
-        "__pos", F.when(F.col(ident) == F.col("__last"), F.lit(2.0)).otherwise(F.col("__hi") / F.col("__t")))
+    # weights become whole numbers of 2^-52 of the group's largest power of two: their sums are exact in any order
+    known = attach(df, keys, __top=F.max(weight))
+    usable = F.when(F.col("__top") > 0, F.col(weight) > 0).otherwise(F.raise_error(F.lit("weights sum to zero")).cast("boolean"))
+    unit = F.pow(F.lit(2.0), F.floor(F.log2("__top")) - 52)
+    positive = known.where(usable).withColumn("__w", F.round(F.col(weight) / unit).cast("decimal(20,0)")).drop("__top")
+    slices = running(positive, keys, [ident], number=None, sums={"__hi": F.col("__w")}, bound=bound)
+    slices = attach(slices, keys, __t=F.sum("__w"), __last=F.max(ident)).withColumn(
+        "__pos", F.when(F.col(ident) == F.col("__last"), F.lit(2.0)).otherwise(F.col("__hi").cast("double") / F.col("__t").cast("double")))
     spark = df.sparkSession
     if uniforms is None:
         ids = spark.range(n).withColumnRenamed("id", draw)

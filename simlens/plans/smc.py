@@ -62,6 +62,18 @@ def _table(run: Smc, spark: SparkSession, name: str, gen: int, build: Callable[[
     return _store(build(), path)
 
 
+def _check_settings(run: Smc, spark: SparkSession) -> None:
+    """Settings are stored beside the tables; a folder made with others is refused."""
+    own = repr((list(run.parameters), sorted(run.targets.items()), run.n, run.seed, run.method, sorted(run.forest.items())))
+    path = f"{run.root.rstrip('/')}/settings"
+    if _finished(spark, path):
+        kept = spark.read.parquet(path).first()["settings"]
+        if kept != own:
+            raise ValueError(f"the run folder holds tables made with other settings: {kept}")
+    else:
+        _store(literal_table(spark, [(own,)], "settings string"), path)
+
+
 def simulate_rows(fn, schema: str) -> Callable[[DataFrame, int], DataFrame]:
     """Turns a pandas function (rows, seed) -> rows into a simulate callable; each row's seed is a hash of run and id."""
     def run(df: DataFrame, seed: int) -> DataFrame:
@@ -109,6 +121,7 @@ def weigh(run: Smc, rows: DataFrame, scaler: DataFrame, seed: int) -> DataFrame:
 
 def run_smc(spark: SparkSession, run: Smc) -> dict[str, DataFrame]:
     """Tables of the last generation: particles (with statistics), weights, ess, lineage."""
+    _check_settings(run, spark)
     names = list(run.targets)
     out: dict[str, DataFrame] = {}
     scaler = None

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Inputs whose scanned bytes stay below this bound may be ordered inside one task per group.
-#: Override with the Spark setting ``simlens.smallBytes``.
+#: Inputs may be ordered inside one task per group if their scanned bytes stay below the first bound and a
+#: count proves that their rows, whatever joins or explosions made them, stay below the second.
+#: Override the first with the Spark setting ``simlens.smallBytes``.
 SMALL_BYTES = 64 << 20
+SMALL_ROWS = 2_000_000
 
 
 def small_bytes(spark: SparkSession) -> int:
@@ -26,15 +28,17 @@ def scanned_bytes(df: DataFrame) -> int | None:
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
         return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:
+    except AttributeError:      # a remote session has no plan to look at
         return None
 
 
 def is_small(df: DataFrame, bound: int | None = None) -> bool:
-    """True only when the input is proven to lie under the bound."""
+    """True only when the input is proven to lie under both bounds; the count stops once it passes its bound."""
     bound = small_bytes(df.sparkSession) if bound is None else bound
     size = scanned_bytes(df)
-    return size is not None and size <= bound
+    if size is None or size > bound:
+        return False
+    return df.select(F.lit(1)).limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
 
 
 def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:

@@ -68,11 +68,21 @@ def digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return raw.select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def combined_digest(table: DataFrame, order: str = "path", buckets: int = 256) -> DataFrame:
-    """One digest over all file digests in path order: digests per hash bucket first, then over the buckets."""
-    part = F.pmod(F.xxhash64(order), F.lit(buckets))
-    inner = table.groupBy(part.alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "sha256"))), lambda s: s["sha256"]), "\n"), 256).alias("d"))
-    return inner.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s["d"]), "\n"), 256).alias("sha256"))
+def combined_digest(table: DataFrame, order: str = "path", levels: int | None = None) -> DataFrame:
+    """One digest over all file digests: a tree over the hexadecimal digits of the names' digests.
+
+    Leaves hold the files whose name digests share ``levels`` digits, in order of the names; every inner node
+    digests its at most 16 children. By default the number of levels grows with the files, about 64 to a leaf.
+    """
+    if levels is None:
+        levels, files_ = 0, table.count()
+        while files_ > 64 * 16 ** levels:
+            levels += 1
+    node = table.select(F.substring(F.sha2(F.col(order).cast("binary"), 256), 1, levels).alias("b"), F.col(order).alias("o"), F.col("sha256").alias("d"))
+    for level in range(levels, -1, -1):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "d"))), lambda s: s["d"]), "\n")
+        node = node.groupBy("b").agg(F.sha2(joined, 256).alias("d")).select(F.substring("b", 1, level - 1).alias("b") if level > 1 else F.lit("").alias("b"), F.col("b").alias("o"), "d")
+    return node.select(F.col("d").alias("sha256"))
 
 
 # --- small configuration tables ----------------------------------------------------------------------
