@@ -8,8 +8,8 @@ then by hash). Two relations between sets save work:
 - *Index level.* A list entry knows its position, hence the largest partner size it can still serve.
   Lists are cut into blocks by set size and by whether the position can serve an equal or larger
   partner; a probe meets only blocks it can link with, and entries past their position are skipped.
-- *Answer level.* In each list every set is first compared with one centre. The distances to the
-  centre give answers for the others: a sum of two distances within the limit is a link without
+- *Answer level.* In each list every set is first compared with one centre, then, in rounds, those of
+  other components with members of the largest one. The distances to a list's first centre give answers for the others: a sum of two distances within the limit is a link without
   comparison, a difference beyond the limit is none. Sets already in one component need no answer.
   Only what is left is compared, so a group of n near copies costs about n comparisons, not n * n.
 
@@ -37,6 +37,9 @@ from simlens.llm.common import SPACES, Words, arrow_rows, blocks, cut, gram_hash
 #: Slots of the table of shingle counts and the most shingles that may enter it: fixed, sent to all tasks.
 SLOTS = 1 << 22
 MOST_COUNTED = 1 << 18
+#: Rounds against centres: at most so many, and only while lists hold more open pairs than this for each entry.
+#: Each round has so many centres for a component. What rounds leave open is compared in full, so results do not depend on them.
+ROUNDS, PAIRS_PER_ENTRY, HUBS = 6, 4, 4
 #: Shingles that a task gathers before it counts them.
 GATHER = 1 << 22
 
@@ -222,6 +225,23 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(labels.join(found.toDF("label", "lower"), "label", "left").select("row", F.coalesce("lower", "label").alias("label")))
 
 
+def unresolved(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries, with their components, of lists that hold more than one component."""
+    whole = Window.partitionBy("token")
+    return cut(lists.join(labels, "row").withColumn("low", F.min("label").over(whole)).withColumn("high", F.max("label").over(whole))
+               .where("low <> high").drop("low", "high"))
+
+
+def open_pairs_of(entries: DataFrame) -> int:
+    """Pairs of entries in one list that belong to different components, before any other filter."""
+    parts = entries.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    return int(parts.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0)
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """row, doc_id, text_hash, n_shingles, component (its smallest row) and component_id for each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -236,28 +256,33 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                 .join(needed.alias("w"), (F.col("d.text_hash") == F.col("w.text_hash")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
                 .select("w.row", "d.text").dropDuplicates(["row"]))
 
-    # first round: each list's sets against its centre; second round: those left against a centre of another component
+    # first each list's sets against its centre, then those left against centres of other components, while that pays
     answers = None
-    labelled = lists.withColumn("label", F.col("row"))
-    for turn in range(2):
-        centres = lists.alias("c")
-        if turn:
-            whole = Window.partitionBy("token")
-            labelled = lists.join(labels, "row").withColumn("low", F.min("label").over(whole)).withColumn("high", F.max("label").over(whole)).where("low <> high")
-            labelled = cut(labelled.withColumn("other", F.min(F.when(F.col("label") == F.col("high"), F.col("row"))).over(whole)).drop("low", "high"))
-            centres = labelled.withColumn("centre", F.col("other")).alias("c")
-        near = (centres.where("row = centre").alias("c").join(labelled.alias("e"), F.col("c.token") == F.col("e.token"))
-                .where((F.col("e.row") != F.col("c.row")) & ((F.col("e.label") != F.col("c.label")) if turn else F.lit(True)))
+    for turn in range(ROUNDS + 1):
+        if turn == 0:
+            entries, centre = lists.withColumn("label", F.col("row")), F.col("centre")
+        else:
+            entries = unresolved(lists, labels)
+            size, open_pairs = entries.count(), open_pairs_of(entries)
+            if open_pairs <= PAIRS_PER_ENTRY * size or turn == ROUNDS:
+                break
+            # in each list a row of the component that is largest there, drawn anew for each group of lists
+            largest = Window.partitionBy("token", "label")
+            ranked = entries.withColumn("here", F.count("*").over(largest))
+            draw = F.struct(-F.col("here"), "label", F.xxhash64("row", F.pmod("token", F.lit(HUBS)), F.lit(turn)), "row")
+            entries = cut(ranked.withColumn("other", F.min(draw).over(Window.partitionBy("token"))["row"]).drop("here"))
+            centre = F.col("other")
+        near = (entries.where(F.col("row") == centre).alias("c").join(entries.alias("e"), F.col("c.token") == F.col("e.token"))
+                .where((F.col("e.row") != F.col("c.row")) & (F.col("e.label") != F.col("c.label")))
                 .where(can_link(F.col("c.size"), F.col("e.size"), num, den) & position_allows("c", "e", num, den))
                 .select(F.col("c.row").alias("a"), F.col("e.row").alias("b")).distinct())
-        if turn:
-            near = near.join(answers.select("a", "b"), ["a", "b"], "left_anti")
+        if answers is not None:
+            near = near.join(both_ways(answers), ["a", "b"], "left_anti")
         found = compared(near, texts, n, num, den)
         answers = found if answers is None else answers.unionByName(found)
         labels = relabelled(labels, found.where("link"))
 
-    whole = Window.partitionBy("token")
-    left = (lists.join(labels, "row").withColumn("low", F.min("label").over(whole)).withColumn("high", F.max("label").over(whole)).where("low <> high")
+    left = (unresolved(lists, labels)
             .join(answers.select(F.col("a").alias("centre"), F.col("b").alias("row"), "distance"), ["centre", "row"], "left")
             .withColumn("distance", F.when(F.col("row") == F.col("centre"), 0).otherwise(F.col("distance")))
             .withColumn("band", F.floor(F.log("size") / F.log(F.lit(den / num * 1.01))))
@@ -275,7 +300,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
            .select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b"),
                    F.coalesce((F.col("x.distance") + F.col("y.distance")) * (num + den) <= limit, F.lit(False)).alias("sure"))
            .groupBy("a", "b").agg(F.max("sure").alias("sure")))
-    met = cut(met.join(answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"))
+    met = cut(met.join(both_ways(answers), ["a", "b"], "left_anti"))
     found = compared(met.where("not sure").select("a", "b"), texts, n, num, den)
     labels = relabelled(labels, found.where("link").select("a", "b").unionByName(met.where("sure").select("a", "b")))
 

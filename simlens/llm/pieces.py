@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from simlens.llm.common import arrow_rows
+from simlens.llm.common import arrow_rows, worker_state
 
 MARK = "▁"
 #: Fixed values of the model format: kinds of piece, kinds of model.
@@ -66,6 +66,7 @@ class PieceModel:
 
     def __init__(self, data: bytes):
         self.pieces: list[tuple[str, float, int]] = []
+        self.built = None
         trainer, rules = {}, {}
         for number, value in _fields(data):
             if number == 1:
@@ -85,19 +86,24 @@ class PieceModel:
     def runs_are_safe(self) -> bool:
         return not self.character_map and not self.squeeze and self.prefix and all(re.fullmatch(f"{MARK}*[^{MARK}]*", p) for p, _, _ in self.pieces)
 
+    def _model(self):
+        """Unigram scores, or merges in the order of the scores of what they make."""
+        from tokenizers import models
+
+        if self.kind == UNIGRAM:
+            return models.Unigram([(p, s) for p, s, _ in self.pieces], self.unknown, self.byte_fallback)
+        ids = {p: i for i, (p, _, _) in enumerate(self.pieces)}
+        usable = {p: (s, i) for i, (p, s, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
+        pairs = [(-s, i, ids[p[:k]], ids[p[k:]], p[:k], p[k:]) for p, (s, i) in usable.items() for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable]
+        return models.BPE(vocab=ids, merges=[(a, b) for *_, a, b in sorted(pairs)], unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
+
     def tokenizer(self, prefix: bool = True):
         """The model as a tokenizer of the tokenizers library; ``prefix=False`` leaves the dummy prefix out."""
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+        from tokenizers import Regex, Tokenizer, decoders, normalizers
 
-        if self.kind == UNIGRAM:
-            vocab = [(p, s) for p, s, _ in self.pieces]
-            model = models.Unigram(vocab, self.unknown, self.byte_fallback)
-        else:
-            ids = {p: i for i, (p, _, _) in enumerate(self.pieces)}
-            usable = {p: (s, i) for i, (p, s, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
-            pairs = [(-s, i, ids[p[:k]], ids[p[k:]], p[:k], p[k:]) for p, (s, i) in usable.items() for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable]
-            model = models.BPE(vocab=ids, merges=[(a, b) for *_, a, b in sorted(pairs)], unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
-        out = Tokenizer(model)
+        if self.built is None:
+            self.built = self._model()
+        out = Tokenizer(self.built)          # tokenizers share one model
         steps = [normalizers.Precompiled(self.character_map)] if self.character_map else []
         if self.squeeze:
             steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
@@ -118,18 +124,17 @@ class PieceModel:
 class PieceCodec:
     """Encoder and decoder of one task."""
 
-    def __init__(self, path: str, threads: int = 2, limit: int = 300_000):
+    def __init__(self, path: str, threads: int = 2, limit: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
         import sentencepiece
 
         with open(path, "rb") as source:
             self.model = PieceModel(source.read())
         self.own = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.whole = self.model.tokenizer()
         self.by_runs = self.model.runs_are_safe()
-        self.run = self.model.tokenizer(prefix=False)
-        self.runs = self.model.tokenizer(prefix=False)
+        self.whole = self.model.tokenizer()
         if self.by_runs:
+            self.run, self.runs = self.model.tokenizer(prefix=False), self.model.tokenizer(prefix=False)
             from tokenizers import pre_tokenizers
 
             self.runs.pre_tokenizer = pre_tokenizers.Metaspace(replacement=MARK, prepend_scheme="never", split=True)
@@ -207,7 +212,7 @@ class PieceCodec:
 def encode_documents(docs: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
     """doc_id, ids, n_tokens, ids_crc32 (of unsigned 32-bit ids), decoded_sha256, round_trip, parity for each row of ``docs``."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        codec = PieceCodec(model_path, threads)
+        codec = worker_state(f"{model_path} {threads}", lambda: PieceCodec(model_path, threads))
         for columns in batches:
             names, texts = columns["doc_id"].to_pylist(), columns["text"].to_pylist()
             for at in range(0, len(texts), 512):
