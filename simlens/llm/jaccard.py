@@ -38,8 +38,8 @@ from simlens.llm.common import SPACES, Words, arrow_rows, blocks, cut, gram_hash
 SLOTS = 1 << 22
 MOST_COUNTED = 1 << 18
 #: Rounds against centres: at most so many, and only while lists hold more open pairs than this for each entry.
-#: Each round has so many centres for a component. What rounds leave open is compared in full, so results do not depend on them.
-ROUNDS, PAIRS_PER_ENTRY, HUBS = 6, 4, 4
+#: Each round has so many centres in a list. What rounds leave open is compared in full, so results do not depend on them.
+ROUNDS, PAIRS_PER_ENTRY, HUBS = 4, 4, 32
 #: Shingles that a task gathers before it counts them.
 GATHER = 1 << 22
 
@@ -260,19 +260,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     answers = None
     for turn in range(ROUNDS + 1):
         if turn == 0:
-            entries, centre = lists.withColumn("label", F.col("row")), F.col("centre")
+            entries, centre = lists.withColumn("label", F.col("row")), F.col("row") == F.col("centre")
         else:
             entries = unresolved(lists, labels)
             size, open_pairs = entries.count(), open_pairs_of(entries)
             if open_pairs <= PAIRS_PER_ENTRY * size or turn == ROUNDS:
                 break
-            # in each list a row of the component that is largest there, drawn anew for each group of lists
-            largest = Window.partitionBy("token", "label")
-            ranked = entries.withColumn("here", F.count("*").over(largest))
-            draw = F.struct(-F.col("here"), "label", F.xxhash64("row", F.pmod("token", F.lit(HUBS)), F.lit(turn)), "row")
-            entries = cut(ranked.withColumn("other", F.min(draw).over(Window.partitionBy("token"))["row"]).drop("here"))
-            centre = F.col("other")
-        near = (entries.where(F.col("row") == centre).alias("c").join(entries.alias("e"), F.col("c.token") == F.col("e.token"))
+            # in each list some rows, drawn anew: of the component that is largest there, in every other round of the rest
+            ranked = entries.withColumn("here", F.count("*").over(Window.partitionBy("token", "label")))
+            ranked = ranked.withColumn("least", F.min(F.struct(-F.col("here"), "label")).over(Window.partitionBy("token")))
+            draw = Window.partitionBy("token").orderBy((F.col("label") == F.col("least.label")) == F.lit(turn % 2 == 0), F.xxhash64("row", F.lit(turn)), "row")
+            entries = cut(ranked.withColumn("central", F.row_number().over(draw) <= HUBS).drop("here", "least"))
+            centre = F.col("central")
+        near = (entries.where(centre).alias("c").join(entries.alias("e"), F.col("c.token") == F.col("e.token"))
                 .where((F.col("e.row") != F.col("c.row")) & (F.col("e.label") != F.col("c.label")))
                 .where(can_link(F.col("c.size"), F.col("e.size"), num, den) & position_allows("c", "e", num, den))
                 .select(F.col("c.row").alias("a"), F.col("e.row").alias("b")).distinct())
