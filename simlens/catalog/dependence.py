@@ -312,3 +312,10 @@ def correlation_change(spark, sf):
 @query("linear_sensitivity", sql("parts", " UNION ALL ".join(f"SELECT '{p}' AS parameter, round(var_pop({p} * {b}) / var_pop(p_size * 2.0 + tax * 300.0 + quantity), 6) AS sensitivity FROM parts" for p, b in (("p_size", 2.0), ("tax", 300.0), ("quantity", 1.0)))))
 def linear_sensitivity(spark, sf):
     return rounded(D.linear_sensitivity(parts(spark, sf), {"p_size": 2.0, "tax": 300.0, "quantity": 1.0}), 6)
+
+
+@query("ordered_parameters", sql("parts", "WITH " + _SC + """, a AS (SELECT parameter, avg(score) AS mean_mi FROM sc WHERE parameter <> 'tax' GROUP BY parameter), p AS (SELECT DISTINCT parameter FROM sc)
+  SELECT parameter, round(mean_mi, 6) AS mean_mi, row_number() OVER (ORDER BY mean_mi DESC NULLS LAST, parameter) AS place FROM p LEFT JOIN a USING (parameter)"""))
+def ordered_parameters(spark, sf):
+    s = D.cross_correlation(parts(spark, sf), _P, _M).select("parameter", F.abs("r").alias("mi"))
+    return rounded(D.ordered_parameters(s.where("parameter <> 'tax'"), s.select("parameter").distinct()), 6)

@@ -127,7 +127,7 @@ def redundancy_by_correlation(spark, sf):
     return rounded(R.redundancy_groups(_wide(spark, sf), _COLS, 0.8, "correlation_clustering", ["grp"]).select("grp", "parameter", "similarity"), 6)
 
 
-@query("reconstruction_error", sql("parts", "WITH c AS (SELECT abs(corr(quantity, p_size)) AS r FROM parts) SELECT unnest(['quantity', 'p_size']) AS parameter, round((1 - r) / 2, 6) AS mse, round(sqrt((1 - r) / 2), 6) AS rmse, round(sqrt(1 - (1 - r) / 2), 6) AS std_after, round((1 + r) / 2, 6) AS explained FROM c"))
+@query("reconstruction_error", sql("parts", "WITH c AS (SELECT abs(corr(quantity, p_size)) AS r FROM parts) SELECT unnest(['quantity', 'p_size']) AS parameter, round((1 - r) / 2, 6) AS mse, round(sqrt((1 - r) / 2), 6) AS rmse, round(sqrt(1 - (1 - r) / 2), 6) AS std_after, round(sqrt((1 - r) / 2), 6) AS relative_error, round((1 + r) / 2, 6) AS explained FROM c"))
 def reconstruction_error(spark, sf):
     return rounded(R.reconstruction_error(parts(spark, sf), ["quantity", "p_size"], 1), 6)
 
@@ -165,3 +165,27 @@ def sparse_scores(spark, sf):
 def behaviour_clusters(spark, sf):
     out = Le.behaviour_clusters(cut(parts(spark, sf)), "particle", ["quantity", "extendedprice"], 3)
     return out.select("particle", "cluster")
+
+
+_SCORES = "sc AS (" + " UNION ALL ".join(f"SELECT grp, '{m}' AS metric, '{p}' AS parameter, abs(corr({p}, {m})) AS r FROM wide GROUP BY grp" for m in ("q2", "t2") for p in ("quantity", "tax", "p_size")) + ")"
+
+
+@query("importance_selection", sql("parts", "WITH " + _W + ", " + _SCORES + """, m AS (SELECT grp, 'linear' AS method, metric, parameter, r AS s FROM sc UNION ALL SELECT grp, 'squared', metric, parameter, r * r FROM sc),
+  a AS (SELECT grp, method, parameter, avg(x) AS score FROM (SELECT *, s / sum(s) OVER (PARTITION BY grp, method, metric) AS x FROM m) GROUP BY ALL),
+  b AS (SELECT grp, 'composite' AS method, parameter, sum(u) / 2 AS score FROM (SELECT *, score / sum(score) OVER (PARTITION BY grp, method) AS u FROM a) GROUP BY grp, parameter),
+  r AS (SELECT *, row_number() OVER (PARTITION BY grp, method ORDER BY score DESC, parameter) AS rank FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) SELECT grp, method, parameter, round(score, 6) AS score, rank, rank <= 2 AS kept FROM r"""))
+def importance_selection(spark, sf):
+    s = D.cross_correlation(_wide(spark, sf), ["quantity", "tax", "p_size"], ["q2", "t2"], ["grp"]).select("grp", "metric", "parameter", F.abs("r").alias("score"))
+    return rounded(Le.importance_selection({"linear": s, "squared": s.withColumn("score", F.col("score") * F.col("score"))}, 2, ["grp"]), 6)
+
+
+@query("learned_selection")
+def learned_selection(spark, sf):
+    w, parameters = cut(_wide(spark, sf)), ["quantity", "tax", "p_size"]
+    lasso = sobol = None
+    for metric in ("q2", "t2"):
+        one = Le.sparse_scores(w, parameters, metric)
+        _, model = Le.forest_importance(w, parameters, metric)
+        two = Le.variance_sensitivity(w, model, parameters).where("other IS NULL").select(F.lit(metric).alias("metric"), "parameter", F.col("st").alias("score"))
+        lasso, sobol = (one, two) if lasso is None else (lasso.unionByName(one), sobol.unionByName(two))
+    return Le.importance_selection({"lasso": lasso, "sobol": sobol}, 2)

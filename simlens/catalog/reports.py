@@ -389,3 +389,33 @@ def founder_geometry(spark, sf):
 def nearest_rows(spark, sf):
     p = parts(spark, sf).withColumn("d", F.abs(F.col("quantity") - 27))
     return O.nearest_rows(p, ["grp"], ["d", "particle"], 50).select("grp", "particle", "rank")
+
+
+# --- errors by sample size ---------------------------------------------------------------------------
+
+_SIZES = """s AS (SELECT 4 AS size, * FROM mlong UNION ALL SELECT 2, * FROM mlong WHERE particle % 2 = 0 UNION ALL SELECT 1, * FROM mlong WHERE particle % 4 = 0)"""
+
+
+def _sizes(spark, sf):
+    """Nested samples of the particles: all, every second, every fourth."""
+    return part_metrics_long(spark, sf).withColumn("size", F.explode(F.expr("filter(array(4, 2, 1), s -> particle % (4 / s) = 0)")))
+
+
+@query("size_errors", sql("mlong targets", "WITH " + _SIZES + """, c AS (SELECT size, metric, avg(value) AS centre, stddev_pop(value) AS spread FROM s GROUP BY ALL),
+  k AS (SELECT metric, min(abs(value - target)) AS lo, max(abs(value - target)) AS hi, any_value(target) AS target FROM s JOIN targets USING (metric) WHERE size = 4 GROUP BY metric),
+  r AS (SELECT 'posterior' AS source, size, metric, centre, spread FROM c UNION ALL SELECT 'prior', NULL, metric, avg(value), stddev_pop(value) FROM mlong WHERE grp < 'M' GROUP BY metric UNION ALL SELECT 'default', NULL, metric, min(value), 0 FROM mlong GROUP BY metric)
+  SELECT source, size::INTEGER AS size, metric, round((abs(centre - target) - lo) / (hi - lo), 6) AS error, round(spread / (hi - lo), 6) AS error_spread FROM r JOIN k USING (metric)"""))
+def size_errors(spark, sf):
+    values, whole = _sizes(spark, sf), part_metrics_long(spark, sf)
+    centres = values.groupBy("size", "metric").agg(F.avg("value").alias("centre"), F.stddev_pop("value").alias("spread"))
+    references = (whole.where("grp < 'M'").groupBy("metric").agg(F.avg("value").alias("centre"), F.stddev_pop("value").alias("spread")).withColumn("source", F.lit("prior"))
+                  .unionByName(whole.groupBy("metric").agg(F.min("value").alias("centre"), F.lit(0.0).alias("spread")).withColumn("source", F.lit("default"))))
+    return rounded(E.size_errors(values.select("size", "metric", "value"), centres, references, targets(spark)), 6)
+
+
+@query("final_size_errors", sql("long targets", """WITH t AS (SELECT run AS size, metric, value FROM long QUALIFY gen = max(gen) OVER (PARTITION BY run)),
+  p AS (SELECT size, metric, abs(avg(value) - any_value(target)) / any_value(target) * 100 AS error, stddev_pop(value) / any_value(target) * 100 AS ci FROM t JOIN targets USING (metric) GROUP BY size, metric),
+  q AS (SELECT size, avg(error) AS total_error, sqrt(sum(ci * ci)) / count(*) AS total_ci, sum(error) AS summed_error FROM p GROUP BY size)
+  SELECT size, metric, round(error, 5) AS error, round(ci, 5) AS ci, round(total_error, 5) AS total_error, round(total_ci, 5) AS total_ci, round(summed_error, 5) AS summed_error FROM p JOIN q USING (size)"""))
+def final_size_errors(spark, sf):
+    return rounded(E.final_size_errors(metrics_long(spark, sf).withColumnRenamed("run", "size"), targets(spark)), 5)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from simlens.catalog.base import mixed, query, rounded, sql, table
+from simlens.catalog.base import mixed, part_metrics_long, query, rounded, sql, table
 from simlens.operators import colony as K
 from simlens.operators import series as S
 
@@ -244,3 +244,16 @@ def fit_variability(spark, sf):
 def extinction_summary(spark, sf):
     df = table(spark, sf, "events").select("event_type", (F.col("value") > 60).alias("x"), F.dayofmonth("ts").cast("double").alias("d"))
     return S.extinction_summary(df, ["event_type"], "x", "d").withColumn("fraction", F.round("fraction", 6))
+
+
+@query("fits_with_variability", "WITH " + _DAYS + """, c AS (SELECT event_type, day, avg(y) AS y FROM d GROUP BY ALL), f AS (SELECT event_type, regr_slope(y, day) AS b, regr_intercept(y, day) AS a, avg(y) AS m FROM c GROUP BY event_type),
+  v AS (SELECT event_type, count(*) AS n_seed_fits, stddev_pop(b) AS sd FROM (SELECT event_type, seed, regr_slope(y, day) AS b FROM d GROUP BY ALL) GROUP BY event_type)
+  SELECT event_type, round(any_value(b), 4) AS slope, count(*) AS n_timepoints, round(1 - sum(pow(y - (a + b * day), 2)) / sum(pow(y - m, 2)), 4) AS r_squared, round(any_value(a), 4) AS intercept, any_value(n_seed_fits) AS n_seed_fits, round(any_value(sd), 4) AS seed_fit_sd
+  FROM c JOIN f USING (event_type) JOIN v USING (event_type) GROUP BY event_type""")
+def fits_with_variability(spark, sf):
+    return rounded(S.fits_with_variability(_days(spark, sf), ["event_type"], "seed", "day", "y", log=False), 4)
+
+
+@query("case_spread", sql("mlong", "SELECT grp, metric, round(avg(value), 6) AS centre, round(avg(value) - stddev_samp(value), 6) AS lower, round(avg(value) + stddev_samp(value), 6) AS upper, count(value) AS n FROM mlong GROUP BY grp, metric"))
+def case_spread(spark, sf):
+    return rounded(S.case_summary(part_metrics_long(spark, sf), ["grp", "metric"]), 6)

@@ -356,6 +356,14 @@ def mi_over_k(df: DataFrame, ident: str, parameters, metrics, ks: Sequence[int]
     return out
 
 
+def ordered_parameters(mi: DataFrame, parameters: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """All ``parameters`` in the order of their mean information, missing ones last, names breaking ties."""
+    mean = mi.groupBy(*keys, "parameter").agg(F.avg("mi").alias("mean_mi"))
+    rows = keys_equal(parameters, mean, [*keys, "parameter"], "left")
+    place = W.partitionBy(*keys).orderBy(F.desc_nulls_last("mean_mi"), "parameter")        # a table of parameters, not rows
+    return rows.withColumn("place", F.row_number().over(place).cast("bigint"))
+
+
 def core_parameters(profiles: DataFrame, keys: Sequence[str] = (), cutoff: float = 0.7) -> DataFrame:
     """Parameters above the cutoff at every k, and at any k; profiles: (k, parameter, mean_strength)."""
     return profiles.groupBy(*keys, "parameter").agg(

@@ -338,6 +338,31 @@ def total_error(errors: DataFrame, keys: Sequence[str], value: str = "error", ci
                                      (F.sqrt(F.sum(F.col(ci) * F.col(ci))) / n).alias("total_ci"), F.sum(value).alias("summed_error"))
 
 
+def size_errors(values: DataFrame, centres: DataFrame, references: DataFrame, targets: DataFrame, size: str = "size") -> DataFrame:
+    """Normalised error of each sample size and of named references, on one scale per metric.
+
+    ``values`` (size, metric, value) are the samples, ``centres`` (size, metric, centre, spread) their summaries, ``references``
+    (source, metric, centre, spread) others such as prior and default. The scale maps the absolute errors of the largest
+    sample to [0, 1]; a metric without any range keeps its errors. Result: (source, size, metric, error, error_spread).
+    """
+    largest = values.groupBy("metric").agg(F.max(size).alias(size))
+    scale = (with_targets(values.join(largest, ["metric", size], "left_semi"), targets.select("metric", "target"))
+             .groupBy("metric").agg(F.min(F.abs(F.col("value") - F.col("target"))).alias("__lo"), F.max(F.abs(F.col("value") - F.col("target"))).alias("__hi"), F.first("target").alias("target")))
+    rows = (centres.select(F.lit("posterior").alias("source"), size, "metric", "centre", "spread")
+            .unionByName(references.select("source", F.lit(None).cast(centres.schema[size].dataType).alias(size), "metric", "centre", "spread")))
+    span = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(F.lit(1.0))
+    return rows.join(scale, "metric").select("source", size, "metric", ((F.abs(F.col("centre") - F.col("target")) - F.col("__lo")) / span).alias("error"), (F.col("spread") / span).alias("error_spread"))
+
+
+def final_size_errors(long: DataFrame, targets: DataFrame, keys: Sequence[str] = ("size",), generation: str = "gen") -> DataFrame:
+    """Percent error of the metric means in the last generation of each size, with its half-width and the totals over metrics."""
+    last = long.groupBy(*keys).agg(F.max(generation).alias(generation))
+    held = long.where(F.col("value").isNotNull()).join(last, [*keys, generation], "left_semi")
+    per = with_targets(held.groupBy(*keys, "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")), targets.select("metric", "target"))
+    errors = per.select(*keys, "metric", X.absolute_percent_error("mean", "target").alias("error"), (F.col("sd") / F.col("target") * 100).alias("ci"))
+    return keys_equal(errors, total_error(errors, keys), list(keys))
+
+
 def error_contribution(long: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
     joined = with_targets(long.where(F.col("value").isNotNull()), targets)
     return joined.groupBy(*keys, "metric").agg(F.avg(X.absolute_percent_error("value", "target")).alias("contribution_pct"))

@@ -11,8 +11,11 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from simlens.functions import exprs as X
 from simlens.operators.clean import drop_invalid_rows
+from simlens.operators.ordered import attach
 from simlens.operators.sampling import sobol
 from simlens.session import literal_table
 
@@ -88,6 +91,30 @@ def sparse_scores(df: DataFrame, parameters: Sequence[str], metric: str, folds:
     return literal_table(df.sparkSession, [(metric, p, abs(float(c))) for p, c in zip(parameters, best.coefficients.toArray())], "metric string, parameter string, score double")
 
 
+def method_shares(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, parameter, score): each metric's non-negative scores as shares of their sum, averaged over the metrics."""
+    positive = scores.select(*keys, "metric", "parameter", F.greatest(F.coalesce(X.finite("score"), F.lit(0.0)), F.lit(0.0)).alias("score"))
+    shared = attach(positive, [*keys, "metric"], __t=F.sum("score")).withColumn("score", F.col("score") / F.when(F.col("__t") > 0, F.col("__t")).otherwise(F.lit(1.0)))
+    return shared.groupBy(*keys, "parameter").agg(F.avg("score").alias("score"))
+
+
+def importance_selection(methods: dict[str, DataFrame], k: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, method, parameter, score, rank, kept): each method's mean shares, their composite, and the k best of each.
+
+    ``methods`` maps a name to its scores (keys, metric, parameter, score). The composite averages the methods'
+    scores after each is scaled to sum 1.
+    """
+    rows = None
+    for name, scores in methods.items():
+        one = method_shares(scores, keys).withColumn("method", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    unit = attach(rows, [*keys, "method"], __t=F.sum("score")).withColumn("__u", F.col("score") / F.when(F.col("__t") > 0, F.col("__t")).otherwise(F.lit(1.0)))
+    both = unit.groupBy(*keys, "parameter").agg((F.sum("__u") / len(methods)).alias("score")).withColumn("method", F.lit("composite"))
+    place = W.partitionBy(*keys, "method").orderBy(F.desc("score"), "parameter")           # a table of parameters, not rows
+    ranked = rows.unionByName(both).withColumn("rank", F.row_number().over(place).cast("bigint"))
+    return ranked.select(*keys, "method", "parameter", "score", "rank", (F.col("rank") <= k).alias("kept"))
+
+
 def behaviour_clusters(df: DataFrame, ident: str, columns: Sequence[str], k: int, seed: int = 42) -> DataFrame:
     """k-means label of each complete row in standardised space; -1 for rows with a missing value."""
     raw = VectorAssembler(inputCols=list(columns), outputCol="raw").transform(drop_invalid_rows(df, columns))

@@ -359,7 +359,7 @@ def redundancy_groups(df: DataFrame, columns: Sequence[str], threshold: float =
 
 
 def reconstruction_error(df: DataFrame, columns: Sequence[str], components_used: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Squared error per standardised parameter when only the leading components are kept (in standardised space)."""
+    """Squared error per standardised parameter when only the leading components are kept, and its root as a share of the spread (1)."""
     names = list(columns)
 
     def error(n, mean, cov):
@@ -368,8 +368,8 @@ def reconstruction_error(df: DataFrame, columns: Sequence[str], components_used:
         rest = np.eye(len(names)) - keep @ keep.T
         mse = np.diag(rest @ r @ rest)
         share = float(v[:components_used].sum() / v.sum())
-        return [(p, float(e), float(np.sqrt(max(e, 0))), float(np.sqrt(max(1 - e, 0))), share) for p, e in zip(names, mse)]
-    return from_moments(moments(df, names, keys), keys, error, "parameter string, mse double, rmse double, std_after double, explained double")
+        return [(p, float(e), float(np.sqrt(max(e, 0))), float(np.sqrt(max(1 - e, 0))), float(np.sqrt(max(e, 0))), share) for p, e in zip(names, mse)]
+    return from_moments(moments(df, names, keys), keys, error, "parameter string, mse double, rmse double, std_after double, relative_error double, explained double")
 
 
 def redundant_predictions(df: DataFrame, pairs: dict[str, str], ident: str, seed: int, test_share: float = 0.2) -> DataFrame:

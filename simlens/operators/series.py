@@ -135,6 +135,24 @@ def fit_variability(points: DataFrame, keys: Sequence[str], seed: str, time: str
     return slopes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_seed_fits"), F.stddev_pop(x).alias("seed_fit_sd"))
 
 
+def fits_with_variability(points: DataFrame, keys: Sequence[str], seed: str, time: str, value: str, log: bool) -> DataFrame:
+    """Fit of each key's mean curve beside the spread of its replicates' fits."""
+    curve = points.groupBy(*keys, time).agg(F.avg(value).alias(value))
+    return keys_equal(kinetic_fit(curve, keys, time, value, log), fit_variability(points, keys, seed, time, value, log), list(keys))
+
+
+def case_summary(long: DataFrame, keys: Sequence[str], spread: str = "std") -> DataFrame:
+    """Centre with lower and upper end per case and metric: mean and sample deviation, or median and quartiles; non-finite values are left out."""
+    finite = long.withColumn("value", X.finite("value")).where(F.col("value").isNotNull())
+    if spread == "std":
+        mean, sd = F.avg("value"), F.coalesce(F.stddev_samp("value"), F.lit(0.0))
+        return finite.groupBy(*keys).agg(mean.alias("centre"), (mean - sd).alias("lower"), (mean + sd).alias("upper"), F.count(F.lit(1)).alias("n"))
+    if spread != "iqr":
+        raise ValueError("spread must be std or iqr")
+    q = time_course(finite, keys)
+    return q.select(*keys, F.col("median").alias("centre"), F.col("q25").alias("lower"), F.col("q75").alias("upper"), F.col("n_seeds").alias("n"))
+
+
 def extinction_summary(draws: DataFrame, keys: Sequence[str], extinct: str, time: str) -> DataFrame:
     """Extinct share and the median extinction time of the extinct."""
     share = draws.groupBy(*keys).agg(F.avg(F.col(extinct).cast("double")).alias("fraction"), F.count(F.lit(1)).alias("n"))
