@@ -37,7 +37,8 @@ from simlens.llm.common import SPACES, Words, arrow_rows, blocks, cut, gram_hash
 #: Slots of the table of shingle counts and the most shingles that may enter it: fixed, sent to all tasks.
 SLOTS = 1 << 22
 MOST_COUNTED = 1 << 18
-#: Rounds against centres: at most so many, and only while lists hold more open pairs than this for each entry.
+#: Rounds against centres: at most so many, and only while lists hold more open pairs than this for each entry
+#: and a round closes a quarter of them.
 #: Each round has so many centres in a list. What rounds leave open is compared in full, so results do not depend on them.
 ROUNDS, PAIRS_PER_ENTRY, HUBS = 4, 4, 32
 #: Shingles that a task gathers before it counts them.
@@ -220,7 +221,9 @@ def components(edges: DataFrame) -> DataFrame:
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels of all rows after further links between labels or rows."""
     ends = labels.select("row", "label")
-    edges = (links.join(ends.toDF("a", "u"), "a").join(ends.toDF("b", "v"), "b").select("u", "v").where("u <> v"))
+    edges = cut(links.join(ends.toDF("a", "u"), "a").join(ends.toDF("b", "v"), "b").select("u", "v").where("u <> v"))
+    if edges.isEmpty():
+        return labels
     found = components(edges)
     return cut(labels.join(found.toDF("label", "lower"), "label", "left").select("row", F.coalesce("lower", "label").alias("label")))
 
@@ -257,14 +260,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                 .select("w.row", "d.text").dropDuplicates(["row"]))
 
     # first each list's sets against its centre, then those left against centres of other components, while that pays
-    answers = None
+    answers = open_pairs = None
     for turn in range(ROUNDS + 1):
         if turn == 0:
             entries, centre = lists.withColumn("label", F.col("row")), F.col("row") == F.col("centre")
         else:
             entries = unresolved(lists, labels)
-            size, open_pairs = entries.count(), open_pairs_of(entries)
-            if open_pairs <= PAIRS_PER_ENTRY * size or turn == ROUNDS:
+            size, before, open_pairs = entries.count(), open_pairs, open_pairs_of(entries)
+            if open_pairs <= PAIRS_PER_ENTRY * size or turn == ROUNDS or before is not None and open_pairs > 0.75 * before:
                 break
             # in each list some rows, drawn anew: of the component that is largest there, in every other round of the rest
             ranked = entries.withColumn("here", F.count("*").over(Window.partitionBy("token", "label")))
