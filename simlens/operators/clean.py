@@ -155,7 +155,7 @@ def out_of_box(df: DataFrame, keys: Sequence[str], ranges: dict[str, tuple[float
 def to_prior_range(long: DataFrame, ranges: DataFrame, value: str = "value", clip: tuple[float, float] | None = None,
                    name: str = "parameter") -> DataFrame:
     """Long parameter rows placed in their prior range; parameters with an empty range are left out."""
-    joined = long.join(F.broadcast(ranges.where("hi <> lo")), name)   # one row per parameter
+    joined = long.join(ranges.where("hi <> lo"), name)
     return joined.withColumn("unit", X.to_unit(value, "lo", "hi", clip)).drop("lo", "hi")
 
 
@@ -188,7 +188,7 @@ def change_from_mean(long: DataFrame, reference: DataFrame, keys: Sequence[str],
 
 def split_family(long: DataFrame, dictionary: DataFrame, family: str, name: str = "parameter") -> DataFrame:
     """Rows of the parameters that the dictionary puts in one family."""
-    return long.join(F.broadcast(dictionary.where(F.col("family") == family).select(name)), name, "left_semi")
+    return long.join(dictionary.where(F.col("family") == family).select(name), name, "left_semi")
 
 
 def valid_samples(df: DataFrame, ranged: Sequence[str]) -> DataFrame:
@@ -210,7 +210,7 @@ def from_log(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def format_parameters(long: DataFrame, dictionary: DataFrame, name: str = "parameter", value: str = "value") -> DataFrame:
     """Clips each value as its dictionary row says (``bounded``) and rounds to ``digits``."""
-    joined = long.join(F.broadcast(dictionary), name)
+    joined = long.join(dictionary, name)
     x = F.when(F.col("bounded"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value)))).otherwise(F.greatest(F.lit(0.0), F.col(value)))
     scale = F.pow(F.lit(10.0), F.col("digits"))
     return joined.withColumn("formatted", F.bround(x * scale, 0) / scale)

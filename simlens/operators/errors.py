@@ -17,7 +17,7 @@ from simlens.session import literal_table
 
 def with_targets(long: DataFrame, targets: DataFrame, name: str = "metric") -> DataFrame:
     """Long metric rows beside their target (targets: one row per metric)."""
-    return long.join(F.broadcast(targets), name)
+    return long.join(targets, name)
 
 
 # --- rejection -----------------------------------------------------------------------------------
@@ -39,7 +39,7 @@ def rejection(long: DataFrame, targets: DataFrame, keys: Sequence[str], epsilon:
         if "weight" in targets.columns else targets.select("metric", "target", F.lit(1.0).alias("weight"))
     wanted = with_targets(long, weighed)
     factors = normalisation_factors(wanted, static)
-    terms = wanted.join(F.broadcast(factors), "metric")   # one row per metric
+    terms = wanted.join(factors, "metric")
     distance = (F.sum(F.abs(F.col("value") - F.col("target")) / F.col("norm") * F.col("weight")) / F.sum("weight"))
     out = terms.groupBy(*keys).agg(distance.alias("distance"))
     accepted = F.col("distance") < epsilon if strict else F.col("distance") <= epsilon
@@ -135,7 +135,7 @@ def posterior_summary(long: DataFrame, truth: DataFrame, keys: Sequence[str], va
     base = long.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     q = quantiles(long, keys, value, [0.025, 0.5, 0.975], "__q")
     name = keys[-1]
-    out = keys_equal(base, q, keys).join(F.broadcast(truth), name)
+    out = keys_equal(base, q, keys).join(truth, name)
     lo, hi = F.element_at("__q", 1), F.element_at("__q", 3)
     bias = F.col("mean") - F.col("true_value")
     return out.select(*keys, "mean", F.element_at("__q", 2).alias("median"), "std", lo.alias("ci_lo"), hi.alias("ci_hi"),
@@ -217,7 +217,7 @@ def mode_errors(modes: DataFrame, reference: DataFrame, targets: DataFrame, scal
     """
     both = modes.select(F.col("n").cast("string").alias("label"), "metric", "mode", "std").unionByName(
         reference.select(F.col("reference").alias("label"), "metric", "mode", "std"))
-    joined = both.join(F.broadcast(scaler), "metric").join(F.broadcast(targets), "metric")
+    joined = both.join(scaler, "metric").join(targets, "metric")
     width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
     a, b = (F.col("mode") - F.col("lo")) / width, (F.col("target") - F.col("lo")) / width
     err = X.squared_error(a, b) if loss == "squared" else X.absolute_error(a, b)

@@ -417,12 +417,12 @@ def permutation_p(statistics: DataFrame, names: Sequence[str] = ("spread", "excl
 
 def mode_target_errors(points: DataFrame, peak: str, metrics: Sequence[str], targets: DataFrame) -> DataFrame:
     med = medians(melt(points, [peak], metrics), [peak, "metric"], "value")
-    return med.join(F.broadcast(targets.select("metric", "target")), "metric").withColumn("error_pct", X.absolute_percent_error("median", "target"))
+    return med.join(targets.select("metric", "target"), "metric").withColumn("error_pct", X.absolute_percent_error("median", "target"))
 
 
 def peak_changes(points: DataFrame, peak: str, distance: str, ident: str, columns: Sequence[str], prior: DataFrame, n: int = 50) -> DataFrame:
     """Median percent change from the prior mean of the n particles nearest each peak."""
     near = melt(nearest_rows(points, [peak], [distance, ident], n), [peak], columns, "parameter")
     mean = melt(prior, [], columns, "parameter").groupBy("parameter").agg(F.avg("value").alias("__m"))
-    changed = near.join(F.broadcast(mean), "parameter").withColumn("change", X.percent_change("value", "__m"))
+    changed = near.join(mean, "parameter").withColumn("change", X.percent_change("value", "__m"))
     return medians(changed, [peak, "parameter"], "change", "median_change_pct")

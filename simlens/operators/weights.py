@@ -63,7 +63,7 @@ def spread_across(geometry: DataFrame, keys: Sequence[str], columns: Sequence[st
 
 def weighted_errors(long: DataFrame, targets: DataFrame, keys: Sequence[str], weight: str = "weight") -> DataFrame:
     """Weighted and plain mean absolute percent error and the error of the weighted mean, averaged over metrics."""
-    joined = long.where(F.col("value").isNotNull() & F.col(weight).isNotNull()).join(F.broadcast(targets), "metric")
+    joined = long.where(F.col("value").isNotNull() & F.col(weight).isNotNull()).join(targets, "metric")
     e, w = X.absolute_percent_error("value", "target"), F.col(weight)
     per = joined.groupBy(*keys, "metric").agg(
         F.try_divide(F.sum(w * e), F.sum(w)).alias("wm"), F.avg(e).alias("pm"),
