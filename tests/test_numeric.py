@@ -149,7 +149,7 @@ def test_resample_draws_only_weighted_rows(spark):
 def test_sobol_points_and_ranges(spark):
     rows = S.sobol(spark.range(4), "id", ["a", "b"]).orderBy("id").collect()
     assert [(r.a, r.b) for r in rows] == [(0.0, 0.0), (0.5, 0.5), (0.75, 0.25), (0.25, 0.75)]
-    many = S.sobol(spark.range(256), "id", [f"d{i}" for i in range(30)], 7).toPandas()
+    many = S.sobol(spark.range(256), "id", [f"d{i}" for i in range(21)], 7).toPandas()
     assert (many.drop(columns="id").apply(lambda c: len(set((c * 256).astype(int)))) == 256).all()
 
 
