@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simlens.session import checkpoint_root, cut
+from simlens.session import checkpoint_root, cut, forget
 
-__all__ = ["BLOCK", "arrow_rows", "blocks", "cut", "held_out", "held_out_id", "mix", "open_shared", "read_table", "shared_folder", "Words", "worker_state", "words_of"]
+__all__ = ["BLOCK", "arrow_rows", "blocks", "cut", "forget", "held_out", "held_out_id", "mix", "open_shared", "read_table", "shared_folder", "Words", "worker_state", "words_of"]
 
 #: Rows and bytes of an Arrow batch, at most: whole texts are long, and several batches are in memory at once.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simlens.llm.common import SPACES, Words, arrow_rows, blocks, cut, gram_hashes, words_of
+from simlens.llm.common import SPACES, Words, arrow_rows, blocks, cut, forget, gram_hashes, words_of
 
 #: Slots of the table of shingle counts and the most shingles that may enter it: fixed, sent to all tasks.
 SLOTS = 1 << 22
@@ -213,6 +213,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(lowest, "u")
         after = cut(small.select("v", "m").union(small.select(F.col("u").alias("v"), "m")).where("v <> m").distinct().select(F.col("v").alias("u"), F.col("m").alias("v")))
         sign = signature(after)
+        forget(now)
         if sign == mark:
             return after.select(F.col("u").alias("node"), F.col("v").alias("label"))
         now, mark = after, sign
