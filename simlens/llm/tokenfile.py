@@ -106,7 +106,7 @@ class WordEncoder:
     encoded whole and compared.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -184,7 +184,7 @@ class WordEncoder:
         plain, whole = [], []
         for i, text in enumerate(texts):
             (whole if any(s in text for s in self.special) else plain).append(i)
-        for a, b in blocks([texts[i] for i in plain], 4 * BLOCK):
+        for a, b in blocks([texts[i] for i in plain], 3 * BLOCK):
             for i, made in zip(plain[a:b], self._block([texts[i] for i in plain[a:b]])):
                 out[i] = made
         for i, made in zip(whole, self._whole([texts[i] for i in whole])):
