@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import uuid
 import zlib
@@ -49,6 +50,14 @@ def worker_state(key: str, make: Callable):
     return kept[key]
 
 
+def release_memory() -> None:
+    """Give memory that a task has freed back to the system: idle workers stay alive and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def held_out(ident: Column) -> Column:
     """True where crc32 of the id as text is divisible by 5; a null id counts as held out."""
     return F.coalesce(F.crc32(ident.cast("string")) % 5 == 0, F.lit(True))
@@ -90,6 +99,7 @@ def arrow_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]],
         inputs = ({n: c for n, c in zip(b.schema.names, b.columns)} for b in batches)
         for columns in rows(inputs):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in out], schema=out)
+        release_memory()
 
     conf = df.sparkSession.conf
     for name, most in BATCH.items():

@@ -131,8 +131,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], prefix
     listed = (hits.select("row", "number").distinct().join(whose, "number").select("row", "item").distinct()
               .groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items")))
     none = F.array().cast("array<string>")
-    out = (met.drop("_hits").join(extended.select(F.col("row").alias("_row"), F.col("n_hit").alias("_n_hit"), F.col("spans").alias("_spans")), "_row", "left")
-           .join(listed.select(F.col("row").alias("_row"), F.col("items").alias("_items")), "_row", "left")
+    # only rows with possible hits meet the joins; the others, with their texts, stay where they are
+    touched = F.size("_hits") > 0
+    some = (met.where(touched).drop("_hits")
+            .join(extended.select(F.col("row").alias("_row"), F.col("n_hit").alias("_n_hit"), F.col("spans").alias("_spans")), "_row", "left")
+            .join(listed.select(F.col("row").alias("_row"), F.col("items").alias("_items")), "_row", "left"))
+    out = (some.unionByName(met.where(~touched).drop("_hits"), allowMissingColumns=True)
             .select(*keep, F.col("_n").alias(f"{prefix}n_words"), F.coalesce("_n_hit", F.lit(0)).cast("long").alias(f"{prefix}n_hit"),
                     F.size(F.coalesce("_items", none)).cast("long").alias(f"{prefix}n_items"), F.coalesce("_items", none).alias(f"{prefix}items"),
                     F.coalesce("_spans", F.array().cast("array<struct<at:int,end:int>>")).alias(f"{prefix}spans"),

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from simlens.llm.common import arrow_rows, worker_state
+from simlens.llm.common import arrow_rows
 
 MARK = "▁"
 #: Fixed values of the model format: kinds of piece, kinds of model.
@@ -212,7 +212,7 @@ class PieceCodec:
 def encode_documents(docs: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
     """doc_id, ids, n_tokens, ids_crc32 (of unsigned 32-bit ids), decoded_sha256, round_trip, parity for each row of ``docs``."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        codec = worker_state(f"{model_path} {threads}", lambda: PieceCodec(model_path, threads))
+        codec = PieceCodec(model_path, threads)       # not kept: other stages share the worker's memory
         for columns in batches:
             names, texts = columns["doc_id"].to_pylist(), columns["text"].to_pylist()
             for at in range(0, len(texts), 512):

@@ -177,7 +177,10 @@ def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
     more = (found.where("not seed").join(trusted, ["kind", "instance"]).groupBy("_row")
             .agg(F.collect_list(F.struct("kind", "start", "end")).alias("_more")))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return rows.drop("_found").join(more, "_row", "left").withColumn("_spans", F.array_sort(F.concat("_base", F.coalesce("_more", none)))).drop("_row", "_more")
+    # only rows with candidates meet the join; the others, with their texts, stay where they are
+    loose = F.exists("_found", lambda x: ~x["seed"])
+    met = rows.where(loose).join(more, "_row", "left").unionByName(rows.where(~loose).withColumn("_more", none))
+    return met.withColumn("_spans", F.array_sort(F.concat("_base", F.coalesce("_more", none)))).drop("_found", "_row", "_more")
 
 
 def listed(spans: str):
