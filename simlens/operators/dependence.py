@@ -206,6 +206,8 @@ def canonical_importance(df: DataFrame, parameters, metrics, keys=()) -> DataFra
         k = len(ps)
         sd = np.sqrt(np.diag(cov))
         c = cov / np.outer(sd, sd)
+        if len(ms) == 1:          # one metric: the correlations themselves
+            return [(p, float(abs(c[i, k]))) for i, p in enumerate(ps)]
 
         def whiten(m):
             v, q = np.linalg.eigh(m)
