@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simlens.llm import chat, decontaminate, html, jaccard, language, pieces, pii, quality, tokenfile, topk
+from simlens.llm import chat, decontaminate, html, jaccard, language, pieces, pii, quality, tokenfile, topk, whiten
 from simlens.llm.common import held_out, read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = ~held_out(F.col("doc_id"))
     model = quality.train(docs.where(learned), labels.where(learned), "quality")
     return quality.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(read_table(spark, sf_dir, "embeddings"))
