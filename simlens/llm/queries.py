@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simlens.llm import chat, decontaminate, html, jaccard, language, pieces, pii, quality, tokenfile, topk, whiten
+from simlens.llm import chat, decontaminate, html, jaccard, language, pieces, pii, quality, repair, tokenfile, topk, whiten
 from simlens.llm.common import held_out, read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,46 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.damage(read_table(spark, sf_dir, "conversations")))
+
+
+SQL["op11_repair"] = """
+with recursive bits as (select i::bigint as v, i, 0 as step from range(256) t(i)
+    union all select case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, i, step + 1 from bits where step < 8),
+  crc as (select list(v order by i) as t from bits where step = 8),
+  said as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+  drawn as (select said.*, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(k, ''), lambda c: ascii(c)::bigint)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::bigint) % 20 as draw from said, crc),
+  damaged as (select conv_id, turn, case draw when 4 then 'user' else role end as role,
+      case draw when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(case draw when 3 then 2 else 1 end)) as copy from drawn where draw <> 0),
+  numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from damaged),
+  ordered as (select *, row_number() over (partition by conv_id, role, text order by k) as seen, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as trimmed from numbered),
+  faulted as (select conv_id, turn, role, text, k, case left(role, 1) when 's' then 0 when 'u' then 1 when 'a' then 2 else 3 end as kind,
+      case when trimmed = '' then 1 when seen > 1 then 2 when right(trimmed, 1) not in ('.', '!', '?') then 3 else 0 end as fault from ordered),
+  counted as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate,
+      count(*) filter (fault = 3) as truncated, count(*) filter (before is not null and (before, kind) not in ((0, 1), (1, 2), (2, 1))) as illegal
+      from (select *, lag(kind) over (partition by conv_id order by k) as before from faulted) group by conv_id),
+  inserted(state, letters, next, cost, piece) as (values (0, '', 0, 0, ''), (0, 'I', 2, 3, 'user:\n'), (0, 'II', 3, 6, 'user:\nassistant:\n'), (1, '', 1, 0, ''), (1, 'I', 2, 3, 'user:\n'),
+      (1, 'II', 3, 6, 'user:\nassistant:\n'), (2, '', 2, 0, ''), (2, 'I', 3, 3, 'assistant:\n'), (3, '', 3, 0, ''), (3, 'I', 2, 3, 'user:\n')),
+  letters(letter, kind, state, next, cost) as (select 'D', kind, state, state, 4 from range(4) a(kind), range(4) b(state) union all
+      select 'R', kind, state, case state when 2 then 3 else 2 end, 3 from range(4) a(kind), range(4) b(state) union all
+      values ('K', 0, 0, 1, 0), ('K', 1, 0, 2, 0), ('K', 1, 1, 2, 0), ('K', 1, 3, 2, 0), ('K', 2, 2, 3, 0)),
+  ways as (select distinct conv_id, 0::bigint as k, 0::bigint as state, 0::bigint as cost, '' as audit, '' as repaired from conversations
+    union all
+    select conv_id, k, state, cost, audit, repaired from (
+      select w.conv_id, f.k, l.next::bigint as state, (w.cost + i.cost + l.cost + case when f.fault = 3 and l.letter <> 'D' then 3 else 0 end)::bigint as cost, w.audit || i.letters || l.letter as audit,
+        w.repaired || replace(i.piece, '\n', chr(10)) || case l.letter when 'D' then '' when 'K' then f.role || ':' || f.text || chr(10) else case l.next when 2 then 'user:' else 'assistant:' end || f.text || chr(10) end as repaired
+      from ways w join faulted f on f.conv_id is not distinct from w.conv_id and f.k = w.k + 1 join inserted i on i.state = w.state
+        join letters l on l.state = i.next and l.kind = f.kind and (l.letter = 'D' or f.fault not in (1, 2)))
+    qualify row_number() over (partition by conv_id, k, state order by cost, audit) = 1),
+  ends as (select w.conv_id, w.k, w.cost + i.cost as cost, w.audit || i.letters as audit, w.repaired || replace(i.piece, '\n', chr(10)) as repaired
+      from ways w join inserted i on i.state = w.state and (i.next = 3 or w.state = 0 and i.next = 0)
+    qualify row_number() over (partition by w.conv_id order by w.k desc, w.cost + i.cost, w.audit || i.letters) = 1)
+select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, e.cost::bigint as cost, e.audit, sha256(left(e.repaired, greatest(length(e.repaired) - 1, 0))) as repaired_sha256
+from ends e left join counted c on c.conv_id is not distinct from e.conv_id
+"""
