@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simlens.llm import chat, decontaminate, html, jaccard, language, pieces, pii, quality, repair, tokenfile, topk, whiten
+from simlens.llm import chat, decontaminate, html, jaccard, language, pieces, pii, quality, repair, tokenfile, topk, toxicity, whiten
 from simlens.llm.common import held_out, read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,11 @@ select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint
   coalesce(illegal, 0)::bigint as illegal, e.cost::bigint as cost, e.audit, sha256(left(e.repaired, greatest(length(e.repaired) - 1, 0))) as repaired_sha256
 from ends e left join counted c on c.conv_id is not distinct from e.conv_id
 """
+
+
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    hidden = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
+    model = toxicity.train(docs.where(~hidden), labels.where(~hidden), "toxic")
+    return toxicity.score(docs, model).select("doc_id", hidden.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
