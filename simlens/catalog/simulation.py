@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from simlens.catalog.base import mixed, part_metrics_long, query, rounded, sql, table
 from simlens.operators import colony as K
 from simlens.operators import series as S
+from simlens.operators.spectral import best_lag
 
 # events play cells: folder = user, seed = hour parity, time = day; event type plays the state.
 _CELLS = """cells AS (SELECT user_id AS folder, (event_id % 4)::INTEGER AS seed, ((day(ts) - 1) // 10 * 14400)::INTEGER AS t_min, value AS volume, value / 2 AS age,
@@ -166,14 +167,26 @@ def local_peaks(spark, sf):
     return S.local_peaks(_ev(spark, sf), ["user_id"], ["t"], "value").select("event_id", "user_id", "value")
 
 
-@query("two_species_statistics", "WITH ev AS (SELECT user_id, ts, value AS a, (event_id % 37)::DOUBLE AS b FROM events), s AS (SELECT *, lag(a) OVER w AS pa, lead(a) OVER w AS na, lag(b) OVER w AS pb, lead(b) OVER w AS nb FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts)) " + """
-  SELECT user_id, round(avg(a), 5) AS a_mean, round(stddev_pop(a), 5) AS a_std, min(a) AS a_min, max(a) AS a_max, count_if(pa < a AND a > na)::BIGINT AS a_peaks, round(avg(b), 5) AS b_mean, round(stddev_pop(b), 5) AS b_std, min(b) AS b_min, max(b) AS b_max,
-  count_if(pb < b AND b > nb)::BIGINT AS b_peaks, round(corr(a, b), 5) AS correlation FROM s GROUP BY user_id""")
+#: Lag by a self join over all pairs of rows; sums within 1e-9 of the largest possible one are equal.
+_LAG = """d AS (SELECT {k}, row_number() OVER (PARTITION BY {k} ORDER BY {o}) AS p, a - avg(a) OVER (PARTITION BY {k}) AS a, b - avg(b) OVER (PARTITION BY {k}) AS b FROM ev),
+  scales AS (SELECT {k}, 1e-9 * sqrt(sum(a * a) * sum(b * b)) AS near FROM d GROUP BY {k}), pairs AS (SELECT x.{k}, x.p - y.p AS lag, sum(x.a * y.b) AS s FROM d x JOIN d y ON x.{k} = y.{k} GROUP BY ALL),
+  tops AS (SELECT {k}, max(s) AS top FROM pairs GROUP BY {k}), lags AS (SELECT {k}, min(lag)::BIGINT AS lag FROM pairs JOIN tops USING ({k}) JOIN scales USING ({k}) WHERE s >= top - near GROUP BY {k})"""
+
+
+@query("two_species_statistics", "WITH ev AS (SELECT user_id, ts, value AS a, (event_id % 37)::DOUBLE AS b FROM events), s AS (SELECT *, lag(a) OVER w AS pa, lead(a) OVER w AS na, lag(b) OVER w AS pb, lead(b) OVER w AS nb FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts)), " + _LAG.format(k="user_id", o="ts") + """
+  SELECT user_id, any_value(lag) AS lag, round(avg(a), 5) AS a_mean, round(stddev_pop(a), 5) AS a_std, min(a) AS a_min, max(a) AS a_max, count_if(pa < a AND a > na)::BIGINT AS a_peaks, round(avg(b), 5) AS b_mean, round(stddev_pop(b), 5) AS b_std, min(b) AS b_min, max(b) AS b_max,
+  count_if(pb < b AND b > nb)::BIGINT AS b_peaks, round(corr(a, b), 5) AS correlation FROM s JOIN lags USING (user_id) GROUP BY user_id""")
 def two_species_statistics(spark, sf):
     df = table(spark, sf, "events").select("user_id", "ts", F.col("value").alias("a"), (F.col("event_id") % 37).cast("double").alias("b"))
     return rounded(S.two_species_statistics(df, ["user_id"], ["ts"], "a", "b"), 5)
 
 
+@query("correlation_lags_large_groups", "WITH ev AS (SELECT event_type, event_id, value AS a, sin(event_id / 40.0) * 50 + (event_id % 11) AS b FROM events), " + _LAG.format(k="event_type", o="event_id") + " SELECT event_type, lag FROM lags")
+def correlation_lags_large_groups(spark, sf):
+    df = table(spark, sf, "events").select("event_type", "event_id", F.col("value").alias("a"), (F.sin(F.col("event_id") / 40.0) * 50 + F.col("event_id") % 11).alias("b"))
+    return best_lag(df, ["event_type"], ["event_id"], "a", "b", bound=0)
+
+
 _EQ = "WITH " + _EV + """, s AS (SELECT *, count(value) OVER w AS n, avg(value) OVER w AS m, max(value) OVER w AS hi, min(value) OVER w AS lo FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
   SELECT user_id, round(coalesce(min(t) FILTER (n = 5 AND greatest(hi - m, m - lo) / m < 0.6), max(t)), 3) AS equilibrium_time FROM s GROUP BY user_id"""
 

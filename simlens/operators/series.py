@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from simlens.functions import exprs as X
 from simlens.operators.ordered import keys_equal, medians, quantiles, running, windowed
+from simlens.operators.spectral import best_lag
 
 
 def epidemic_statistics(series: DataFrame, keys: Sequence[str], time: str = "time", infected: str = "I", recovered: str = "R",
@@ -48,13 +49,14 @@ def local_peaks(series: DataFrame, keys: Sequence[str], order: Sequence[str], va
 
 
 def two_species_statistics(series: DataFrame, keys: Sequence[str], order: Sequence[str], a: str, b: str, bound: int | None = None) -> DataFrame:
-    """Moments, correlation and peak counts of two series."""
+    """Moments, correlation and peak counts of two series, and the lag of their largest full cross-correlation."""
     s = windowed(series, keys, order, 1, 1, lambda w: {f"__{side}{v}": f(v).over(w) for v in (a, b) for side, f in (("p", F.lag), ("n", F.lead))}, bound=bound)
 
     def peaks(v):
         return F.count_if((F.col(f"__p{v}") < F.col(v)) & (F.col(v) > F.col(f"__n{v}"))).alias(f"{v}_peaks")
     parts = [e for v in (a, b) for e in (F.avg(v).alias(f"{v}_mean"), F.stddev_pop(v).alias(f"{v}_std"), F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max"), peaks(v))]
-    return s.groupBy(*keys).agg(*parts, X.safe_corr(a, b).alias("correlation"))
+    out = s.groupBy(*keys).agg(*parts, X.safe_corr(a, b).alias("correlation"))
+    return keys_equal(out, best_lag(series, keys, order, a, b, bound=bound), keys, "left")
 
 
 def equilibrium_time(series: DataFrame, keys: Sequence[str], time: str, value: str, threshold: float = 0.05, span: int = 5,
