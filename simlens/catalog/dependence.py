@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from simlens.catalog.base import PARAMS, mixed, params_long, parts, query, rounded, sql, table
 from simlens.operators import dependence as D
+from simlens.operators import distance as Di
+from simlens.operators import modes as Mo
 from simlens.operators import neighbours as N
 from simlens.session import literal_table
 
@@ -319,3 +321,79 @@ def linear_sensitivity(spark, sf):
 def ordered_parameters(spark, sf):
     s = D.cross_correlation(parts(spark, sf), _P, _M).select("parameter", F.abs("r").alias("mi"))
     return rounded(D.ordered_parameters(s.where("parameter <> 'tax'"), s.select("parameter").distinct()), 6)
+
+
+_PSI = """psi AS (SELECT n, sum(CASE WHEN n = 1 THEN -0.57721566490153286061::DOUBLE ELSE 1.0::DOUBLE / (n - 1) END) OVER (ORDER BY n) AS psi FROM range(1, 30000) t(n))"""
+_LAB = "lab AS (SELECT particle, perm AS permutation, (particle // (perm + 1)) % 3 AS g FROM parts, range(0, 4) t(perm))"
+
+
+@query("permutation_test", sql("parts", "WITH " + _PSI + ", " + _LAB + """,
+  raw AS (SELECT permutation, g, p.parameter, m.metric, particle, p.x, m.y FROM lab JOIN (SELECT particle, 'p_size' AS parameter, p_size AS x FROM parts UNION ALL SELECT particle, 'quantity', quantity FROM parts UNION ALL SELECT particle, 'tax', tax FROM parts) p USING (particle)
+    JOIN (SELECT particle, 'mixed' AS metric, quantity + tax * 100 AS y FROM parts UNION ALL SELECT particle, 'extendedprice', extendedprice FROM parts) m USING (particle)),
+  s AS (SELECT permutation, g, parameter, metric, particle, x / stddev_pop(x) OVER w AS x, y / stddev_pop(y) OVER w AS y FROM raw WINDOW w AS (PARTITION BY permutation, g, parameter, metric)),
+  r AS (SELECT a.permutation, a.g, a.parameter, a.metric, a.particle, any_value(a.x) AS x, any_value(a.y) AS y, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3)[3] * (1 - 1e-10) AS r
+    FROM s a JOIN s b ON a.permutation = b.permutation AND a.g = b.g AND a.parameter = b.parameter AND a.metric = b.metric AND a.particle <> b.particle GROUP BY ALL),
+  c AS (SELECT r.permutation, r.g, r.parameter, r.metric, r.particle, count_if(abs(r.x - b.x) < r.r) AS nx, count_if(abs(r.y - b.y) < r.r) AS ny
+    FROM r JOIN s b ON r.permutation = b.permutation AND r.g = b.g AND r.parameter = b.parameter AND r.metric = b.metric GROUP BY ALL),
+  m AS (SELECT permutation, g, parameter, metric, count(*) AS n, avg(p.psi) AS px, avg(q.psi) AS py FROM c JOIN psi p ON p.n = greatest(nx, 1) JOIN psi q ON q.n = greatest(ny, 1) GROUP BY ALL),
+  mi AS (SELECT permutation, g, parameter, metric, greatest(0, z.psi + (1.5 - 0.57721566490153286061) - px - py) AS mi FROM m JOIN psi z ON z.n = m.n),
+  u AS (SELECT *, CASE WHEN max(mi) OVER w > min(mi) OVER w THEN (mi - min(mi) OVER w) / (max(mi) OVER w - min(mi) OVER w) ELSE 0 END AS u FROM mi WINDOW w AS (PARTITION BY permutation, g, metric)),
+  f AS (SELECT permutation, g, parameter, avg(u) AS s FROM u GROUP BY ALL),
+  d AS (SELECT permutation, avg(d) AS spread FROM (SELECT a.permutation, a.g, b.g AS h, sqrt(sum(pow(a.s - b.s, 2))) AS d FROM f a JOIN f b ON a.permutation = b.permutation AND a.parameter = b.parameter AND a.g < b.g GROUP BY ALL) GROUP BY permutation),
+  e AS (SELECT permutation, count_if(k = 1)::DOUBLE AS exclusive FROM (SELECT permutation, parameter, count_if(s > 0.7) AS k FROM f GROUP BY ALL) GROUP BY permutation),
+  p AS (SELECT permutation, avg(m) AS peakedness FROM (SELECT permutation, g, max(s) AS m FROM f GROUP BY ALL) GROUP BY permutation),
+  t AS (SELECT permutation, 'spread' AS statistic, spread AS v FROM d UNION ALL SELECT permutation, 'exclusive', exclusive FROM e UNION ALL SELECT permutation, 'peakedness', peakedness FROM p),
+  o AS (SELECT statistic, v AS observed FROM t WHERE permutation = 0)
+  SELECT statistic, round(any_value(observed), 5) AS observed, round(avg(v), 5) AS null_mean, round(stddev_pop(v), 5) AS null_sd, round(quantile_cont(v, 0.95), 5) AS null_p95,
+    round((1 + count_if(v >= observed)) / (1 + count(*)), 5) AS p_one_sided, count(*) AS permutations FROM t JOIN o USING (statistic) WHERE permutation > 0 GROUP BY statistic"""))
+def permutation_test(spark, sf):
+    p = _mixed(spark, sf)
+    labels = p.select("particle", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("permutation")).withColumn("g", F.expr("particle div (permutation + 1) % 3"))
+    return rounded(Mo.permutation_test(p, "particle", ["p_size", "quantity", "tax"], ["mixed", "extendedprice"], labels, "g"), 5)
+
+
+# the SQL's normal curve is a published approximation with an error below 2e-7
+
+@query("kolmogorov_normality", sql("plong", """WITH f AS (SELECT parameter, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s FROM plong GROUP BY parameter),
+  v AS (SELECT parameter, value, count(*) AS c FROM plong GROUP BY ALL), w AS (SELECT parameter, n, (value - m) / s AS z, c, sum(c) OVER (PARTITION BY parameter ORDER BY value) AS upto FROM v JOIN f USING (parameter)),
+  t AS (SELECT *, 1.0 / (1.0 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM w), e AS (SELECT *, 1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z / 2) AS e FROM t),
+  g AS (SELECT *, 0.5 * (1 + sign(z) * e) AS f FROM e), d AS (SELECT parameter, any_value(n) AS n, max(greatest(upto / n - f, f - (upto - c) / n)) AS d FROM g GROUP BY parameter),
+  q AS (SELECT *, greatest(least((SELECT 2 * sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * n * d * d)) FROM range(1, 9) x(k)), 1.0), 0.0) AS p FROM d)
+  SELECT parameter, n, round(d, 4) AS statistic, round(p, 3) AS p_value, p > 0.05 AS is_normal FROM q"""))
+def kolmogorov_normality(spark, sf):
+    return mixed(D.kolmogorov_normality(params_long(spark, sf), ["parameter"]), 4, p_value=3)
+
+
+@query("normality_tests")
+def normality_tests(spark, sf):
+    return rounded(D.normality_tests(params_long(spark, sf), ["parameter"]), 6)
+
+
+_DC = """SELECT '{p}' AS parameter, '{m}' AS metric, n, round(sqrt(greatest(ab - 2 * s3 + ma * mb, 0) / sqrt((aa - 2 * qa + ma * ma) * (bb - 2 * qb + mb * mb))), 6) AS distance_correlation FROM
+  (SELECT count(*) AS n, sum(ab) / pow(count(*), 2) AS ab, sum(aa) / pow(count(*), 2) AS aa, sum(bb) / pow(count(*), 2) AS bb, sum(a) / pow(count(*), 2) AS ma, sum(b) / pow(count(*), 2) AS mb,
+    sum(a * b) / pow(count(*), 3) AS s3, sum(a * a) / pow(count(*), 3) AS qa, sum(b * b) / pow(count(*), 3) AS qb
+   FROM (SELECT i.particle, sum(abs(i.{p} - j.{p})) AS a, sum(abs(i.{m} - j.{m})) AS b, sum(abs(i.{p} - j.{p}) * abs(i.{m} - j.{m})) AS ab, sum(pow(i.{p} - j.{p}, 2)) AS aa, sum(pow(i.{m} - j.{m}, 2)) AS bb FROM x i, x j GROUP BY i.particle))"""
+_DCX = "WITH x AS (SELECT particle, p_size, tax, quantity + tax * 100 AS mixed, extendedprice / 1000 AS price FROM parts) "
+
+
+@query("distance_correlation", sql("parts", _DCX + " UNION ALL ".join(_DC.format(p=p, m=m) for p, m in (("p_size", "price"), ("tax", "mixed")))))
+def distance_correlation(spark, sf):
+    p = _mixed(spark, sf).withColumn("price", F.col("extendedprice") / 1000)
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("parameter"), F.lit(b).alias("metric"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in (("p_size", "price"), ("tax", "mixed"))]))
+    return rounded(Di.distance_correlation(p.select("particle", pairs.alias("p")).select("particle", "p.*"), ["parameter", "metric"], "particle", "x", "y"), 6)
+
+
+@query("joint_distance_correlation")
+def joint_distance_correlation(spark, sf):
+    return rounded(Di.joint_distance_correlation(_mixed(spark, sf), "particle", ["p_size", "tax"], ["mixed", "quantity", "discount"]), 6)
+
+
+_KS_MI = "mi AS (" + " UNION ALL ".join(f"SELECT p_size::INTEGER % 3 AS k, '{p}' AS parameter, '{m}' AS metric, abs(corr({p}, {m})) AS mi FROM parts GROUP BY ALL" for p in ("p_retailprice", "tax", "discount", "n_lines") for m in ("quantity", "extendedprice")) + ")"
+
+
+@query("k_agreement", sql("parts", "WITH " + _KS_MI + """, r AS (SELECT *, rank() OVER (PARTITION BY k, metric ORDER BY mi) + (count(*) OVER (PARTITION BY k, metric, mi) - 1) / 2.0 AS r FROM mi)
+  SELECT a.k, b.k AS other_k, a.metric, round(corr(a.r, b.r), 6) AS spearman FROM r a JOIN r b USING (metric, parameter) WHERE a.k < b.k GROUP BY ALL"""))
+def k_agreement(spark, sf):
+    p = parts(spark, sf).withColumn("k", F.col("p_size").cast("int") % 3)
+    mi = D.cross_correlation(p, ["p_retailprice", "tax", "discount", "n_lines"], ["quantity", "extendedprice"], ["k"]).select("k", "parameter", "metric", F.abs("r").alias("mi"))
+    return rounded(D.k_agreement(mi), 6)

@@ -66,6 +66,29 @@ def split_frequency(spark, sf):
     return Fo.split_frequency(nodes, _ST)
 
 
+@query("refit_grid")
+def refit_grid(spark, sf):
+    return Fo.refit_grid(cut(parts(spark, sf)), _observed(spark), "particle", ["p_size", "extendedprice"], _ST, [5, 20], [5, 20], [1, 2])
+
+
+# lines play stored refits: line number = trees, supplier parity = leaf size, quantity = effective size
+@query("refit_summary", """WITH g AS (SELECT l_linenumber AS n_trees, l_suppkey % 2 AS leaf, avg(l_quantity) AS m, stddev_samp(l_quantity) AS s, avg(l_tax) AS support FROM lineitem GROUP BY ALL), t AS (SELECT avg(o_orderkey % 60) AS e FROM orders)
+  SELECT n_trees, leaf, round(m, 6) AS ess_mean, round(s, 6) AS ess_sd, round(support, 6) AS support, round(e, 6) AS stored_ess, abs(e - m) <= 2 * s AS inside FROM g, t""")
+def refit_summary(spark, sf):
+    grid = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("n_trees"), (F.col("l_suppkey") % 2).alias("leaf"), F.col("l_quantity").alias("ess"), F.col("l_tax").alias("support"))
+    stored = table(spark, sf, "orders").agg(F.avg(F.col("o_orderkey") % 60).alias("ess"))
+    return rounded(Fo.refit_summary(grid, stored), 6)
+
+
+# lines play leaf members: line number = tree, supplier = leaf, order = particle with its price as weight
+@query("leaf_average_weights", """SELECT l_linenumber AS tree, l_suppkey AS node, round(avg(o_totalprice), 4) AS mean_weight, count(*) AS members
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL""")
+def leaf_average_weights(spark, sf):
+    members = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("tree"), F.col("l_suppkey").alias("node"), F.col("l_orderkey").alias("particle"), F.lit(1).alias("role"))
+    weights = table(spark, sf, "orders").select(F.col("o_orderkey").alias("particle"), F.col("o_totalprice").alias("weight"))
+    return rounded(Fo.leaf_average_weights(members, weights, "particle"), 4)
+
+
 # Direction numbers of the first three dimensions, from their recurrences, with 30 bits.
 _VALUES = """RECURSIVE m(b, x, y, z) AS (SELECT 0, 1::BIGINT, 1::BIGINT, 3::BIGINT UNION ALL SELECT b + 1, xor(2 * x, x), z, xor(xor(2 * z, 4 * y), y) FROM m WHERE b < 29),
   v(d, b, v) AS (SELECT 0, b, 1::BIGINT << (29 - b) FROM m UNION ALL SELECT 1, b, x << (29 - b) FROM m UNION ALL SELECT 2, b, y << (29 - b) FROM m)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -234,9 +235,19 @@ def digamma_int(n) -> Column:
     return F.when(x < 33, F.element_at(F.array(*table), x.cast("int") + 1)).otherwise(series)
 
 
+#: Complementary error function, element by element.
+complement = np.vectorize(math.erfc, otypes=[float])
+
+
+@F.pandas_udf(DoubleType())
+def normal_below(z: pd.Series) -> pd.Series:
+    """Share of the standard normal distribution below z."""
+    return pd.Series(0.5 * complement(-z.to_numpy(float) / math.sqrt(2.0)))
+
+
 @F.pandas_udf(DoubleType())
 def normal_two_sided_p(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if v == v else None)
+    return pd.Series(complement(np.abs(z.to_numpy(float)) / math.sqrt(2.0)))
 
 
 def _betacf(a: float, b: float, x: float) -> float:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window as W
 from simlens.functions import exprs as X
 from simlens.operators import neighbours as N
 from simlens.operators.clean import melt
-from simlens.operators.ordered import attach, keys_equal, nearest_rows, quantiles, with_ranks
+from simlens.operators.ordered import attach, keys_equal, nearest_rows, quantiles, running, value_counts, with_ranks
 
 
 # --- moments: one pass over the rows, then small matrices --------------------------------------------
@@ -350,6 +351,18 @@ def mi_with_direction(df: DataFrame, ident: str, parameters, metrics, k: int = 3
     return keys_equal(mi, rho, [*keys, "parameter", "metric"])
 
 
+def permutation_information(df: DataFrame, ident: str, parameters, metrics, labels: DataFrame, group: str, k: int = 3, bound: int | None = None) -> DataFrame:
+    """(permutation, group, parameter, strength): profile of each group under each labelling.
+
+    ``labels`` are (permutation, ident, group) rows, permutation 0 the observed one. Strengths are the informations of a
+    labelling's group, scaled to 0 to 1 over parameters for each metric, and averaged over metrics.
+    """
+    rows = df.select(ident, *dict.fromkeys([*parameters, *metrics])).join(labels.select("permutation", ident, group), ident)
+    keys = ["permutation", group]
+    mi = mutual_information(rows, ident, parameters, metrics, k, keys, bound=bound)
+    return mi_profile(mi, keys).select(*keys, "parameter", F.col("mean_strength").alias("strength"))
+
+
 def mi_over_k(df: DataFrame, ident: str, parameters, metrics, ks: Sequence[int] = (3, 4, 5), keys: Sequence[str] = ()) -> DataFrame:
     out = None
     for k in ks:
@@ -358,6 +371,16 @@ def mi_over_k(df: DataFrame, ident: str, parameters, metrics, ks: Sequence[int]
     return out
 
 
+def k_agreement(mi: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(k, other_k, metric, spearman): rank correlation of the parameters' informations between every two numbers of neighbours."""
+    w = W.partitionBy(*keys, "k", "metric", "mi")
+    ranked = mi.withColumn("__r", F.rank().over(W.partitionBy(*keys, "k", "metric").orderBy("mi")) + (F.count(F.lit(1)).over(w) - 1) / 2.0)      # a table of parameters, not rows
+    left = ranked.select(*keys, "metric", "parameter", "k", "__r")
+    right = ranked.select(*keys, "metric", "parameter", F.col("k").alias("other_k"), F.col("__r").alias("__s"))
+    both = keys_equal(left, right, [*keys, "metric", "parameter"]).where("k < other_k")
+    return both.groupBy(*keys, "k", "other_k", "metric").agg(X.safe_corr("__r", "__s").alias("spearman"))
+
+
 def ordered_parameters(mi: DataFrame, parameters: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """All ``parameters`` in the order of their mean information, missing ones last, names breaking ties."""
     mean = mi.groupBy(*keys, "parameter").agg(F.avg("mi").alias("mean_mi"))
@@ -419,6 +442,94 @@ def normality(long: DataFrame, keys: Sequence[str], value: str = "value") -> Dat
     return out.withColumn("statistic", jb).withColumn("p_value", F.exp(-F.col("statistic") / 2)).withColumn("is_normal", F.col("p_value") > 0.05)
 
 
+def kolmogorov_normality(long: DataFrame, keys: Sequence[str], value: str = "value", bound: int | None = None) -> DataFrame:
+    """Largest gap between the running share of the rows and the normal curve with the group's own mean and deviation.
+
+    The p-value is that of the limiting distribution. Nulls are left out; a group without spread has no statistic.
+    """
+    data = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    counted = running(value_counts(data, keys, "__v"), keys, ["__v"], number=None, sums={"__upto": F.col("copies")}, bound=bound)
+    facts = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("__v").alias("__m"), F.stddev_pop("__v").alias("__s"))
+    curve = keys_equal(counted, facts, keys).withColumn("__f", X.normal_below(F.try_divide(F.col("__v") - F.col("__m"), F.col("__s"))))
+    gap = F.greatest(F.col("__upto") / F.col("n") - F.col("__f"), F.col("__f") - (F.col("__upto") - F.col("copies")) / F.col("n"))
+    out = curve.groupBy(*keys).agg(F.first("n").alias("n"), F.max(F.when(F.col("__s") > 0, gap)).alias("statistic"))
+    t = F.col("n") * F.col("statistic") * F.col("statistic")
+    # the alternating series converges fast for large t; for small t its mirror form does
+    tail = 2 * sum(((-1.0) ** (k - 1) * F.exp(-2.0 * k * k * t) for k in range(1, 9)), F.lit(0.0))
+    body = F.sqrt(F.lit(2 * math.pi) / t) * sum((F.exp(-((2 * k - 1) ** 2) * math.pi ** 2 / (8 * t)) for k in range(1, 9)), F.lit(0.0))
+    p = F.when(t < 0.3, 1 - body).otherwise(tail)
+    return out.withColumn("p_value", F.when(t > 0, F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0))).when(t == 0, F.lit(1.0))).withColumn("is_normal", F.col("p_value") > 0.05)
+
+
+# Royston's polynomials (1995) for the coefficients and the p-value of the Shapiro-Wilk statistic.
+_SW_FIRST = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
+_SW_SECOND = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+_SW_SMALL = ((-2.273, 0.459), (0.5440, -0.39978, 0.025054, -6.714e-4), (1.3822, -0.77857, 0.062767, -0.0020322))
+_SW_LARGE = ((-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302))
+#: Largest sample that the Shapiro-Wilk approximation covers.
+MOST_SHAPIRO = 5000
+
+
+def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
+    """Statistic and p-value of a sample of 3 to 5000 values; a sample without spread has statistic 1 and p-value 1."""
+    from statistics import NormalDist
+
+    x = np.sort(values)
+    n, half = len(x), len(x) // 2
+    spread = float(((x - x.mean()) ** 2).sum())
+    if x[0] == x[-1]:
+        return 1.0, 1.0
+
+    def poly(c, t):
+        return sum(v * t ** i for i, v in enumerate(c))
+
+    scores = np.array([NormalDist().inv_cdf((i + 0.625) / (n + 0.25)) for i in range(half)])
+    if n == 3:
+        a = np.array([math.sqrt(0.5)])
+    else:
+        total = 2 * float((scores ** 2).sum())
+        near = [poly(_SW_FIRST, n ** -0.5) - scores[0] / math.sqrt(total)]
+        if n > 5:
+            near.append(poly(_SW_SECOND, n ** -0.5) - scores[1] / math.sqrt(total))
+        fixed = len(near)
+        rest = math.sqrt((total - 2 * float((scores[:fixed] ** 2).sum())) / (1 - 2 * sum(v * v for v in near)))
+        a = np.concatenate([near, -scores[fixed:] / rest])
+    w = min(float((a * (x[::-1][:half] - x[:half])).sum()) ** 2 / spread, 1.0)
+    if n == 3:
+        return w, max(6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))), 0.0)
+    y = math.log(max(1 - w, 1e-300))
+    if n <= 11:
+        edge = poly(_SW_SMALL[0], n)
+        if y >= edge:
+            return w, 0.0
+        y, mean, sd = -math.log(edge - y), poly(_SW_SMALL[1], n), math.exp(poly(_SW_SMALL[2], n))
+    else:
+        mean, sd = poly(_SW_LARGE[0], math.log(n)), math.exp(poly(_SW_LARGE[1], math.log(n)))
+    return w, 0.5 * math.erfc((y - mean) / sd / math.sqrt(2))
+
+
+def shapiro_normality(long: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Shapiro-Wilk statistic of the groups with 3 to ``MOST_SHAPIRO`` values; larger and smaller groups are left out."""
+    data = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    size = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n").between(3, MOST_SHAPIRO))
+    types = {f.name: f.dataType.simpleString() for f in data.schema.fields}
+    names, own = list(keys), shapiro_wilk
+
+    def run(pdf):
+        w, p = own(pdf["__v"].to_numpy(float))
+        return pdf[names].iloc[:1].assign(n=len(pdf), statistic=w, p_value=p)
+
+    schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "n bigint, statistic double, p_value double"
+    return keys_equal(data, size, keys).groupBy(*keys).applyInPandas(run, schema).withColumn("is_normal", F.col("p_value") > 0.05)
+
+
+def normality_tests(long: DataFrame, keys: Sequence[str], value: str = "value", bound: int | None = None) -> DataFrame:
+    """Shapiro-Wilk for groups of at most ``MOST_SHAPIRO`` rows, Kolmogorov-Smirnov for the others."""
+    small = shapiro_normality(long, keys, value).withColumn("test", F.lit("Shapiro-Wilk"))
+    large = kolmogorov_normality(long, keys, value, bound).where(F.col("n") > MOST_SHAPIRO).withColumn("test", F.lit("Kolmogorov-Smirnov"))
+    return small.unionByName(large)
+
+
 def linearity(df: DataFrame, ident: Sequence[str], parameters, metrics, keys: Sequence[str] = ()) -> DataFrame:
     p = cross_correlation(df, parameters, metrics, keys).select(*keys, "parameter", "metric", F.col("r").alias("pearson"))
     s = spearman(df, ident, parameters, metrics, keys).select(*keys, "parameter", "metric", F.col("r").alias("spearman"))

@@ -16,6 +16,7 @@ from simlens.operators.clean import melt
 from simlens.operators.dependence import from_moments, moments
 from simlens.operators.ordered import keys_equal, medians, nearest_rows, running
 from simlens.operators.weights import resample
+from simlens.session import cut
 
 FLUSH = 400      # densities held at once by one task
 
@@ -415,6 +416,14 @@ def permutation_p(statistics: DataFrame, names: Sequence[str] = ("spread", "excl
         ((1 + F.count_if(F.col("value") >= F.col("observed"))) / (1 + F.count(F.lit(1)))).alias("p_one_sided"), F.count(F.lit(1)).alias("permutations"))
 
 
+def permutation_test(df: DataFrame, ident: str, parameters, metrics, labels: DataFrame, group: str, k: int = 3, cutoff: float = 0.7, bound: int | None = None) -> DataFrame:
+    """Whether groups differ in what informs on the metrics: profile statistics of the observed labels against permuted ones."""
+    from simlens.operators.dependence import permutation_information
+
+    profiles = cut(permutation_information(df, ident, parameters, metrics, labels, group, k, bound))
+    return permutation_p(profile_statistics(profiles, ["permutation"], group, cutoff))
+
+
 def mode_target_errors(points: DataFrame, peak: str, metrics: Sequence[str], targets: DataFrame) -> DataFrame:
     med = medians(melt(points, [peak], metrics), [peak, "metric"], "value")
     return med.join(targets.select("metric", "target"), "metric").withColumn("error_pct", X.absolute_percent_error("median", "target"))
