@@ -7,6 +7,7 @@ from simlens.operators import dependence as D
 from simlens.operators import distance as Di
 from simlens.operators import modes as Mo
 from simlens.operators import neighbours as N
+from simlens.operators import sampling as Sa
 from simlens.session import literal_table
 
 _P, _M = ["p_size", "p_retailprice", "tax"], ["quantity", "extendedprice"]
@@ -397,3 +398,17 @@ def k_agreement(spark, sf):
     p = parts(spark, sf).withColumn("k", F.col("p_size").cast("int") % 3)
     mi = D.cross_correlation(p, ["p_retailprice", "tax", "discount", "n_lines"], ["quantity", "extendedprice"], ["k"]).select("k", "parameter", "metric", F.abs("r").alias("mi"))
     return rounded(D.k_agreement(mi), 6)
+
+
+_DESIGN = " UNION ALL ".join(f"SELECT '{m}' AS metric, '{p}' AS parameter, abs(corr({p}, {m})) AS score, (SELECT avg({p}) FROM parts) AS v FROM parts" for p in ("p_size", "p_retailprice", "tax", "discount") for m in ("quantity", "extendedprice"))
+
+
+@query("two_way_design", sql("parts", "WITH c AS (" + _DESIGN + """), r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY score DESC, parameter) AS k FROM c)
+  SELECT a.metric, a.parameter AS first, b.parameter AS second, i::INTEGER AS first_pct, j::INTEGER AS second_pct, round(a.v * (1 + i / 100), 4) AS first_value, round(b.v * (1 + j / 100), 4) AS second_value
+  FROM r a JOIN r b ON a.metric = b.metric AND a.k = 1 AND b.k = 2, range(-50, 51, 10) x(i), range(-50, 51, 10) y(j)"""))
+def two_way_design(spark, sf):
+    p = parts(spark, sf)
+    names = ["p_size", "p_retailprice", "tax", "discount"]
+    scores = D.cross_correlation(p, names, ["quantity", "extendedprice"]).select("metric", "parameter", F.abs("r").alias("mi"))
+    defaults = p.agg(F.array(*[F.struct(F.lit(n).alias("parameter"), F.avg(n).alias("value")) for n in names]).alias("d")).select(F.inline("d"))
+    return rounded(Sa.two_way_design(scores, defaults, keys=["metric"]), 4)

@@ -245,8 +245,8 @@ _EQ = """m AS (SELECT grp, 1 AS step, 'discount' AS target, 'quantity' AS predic
   UNION ALL SELECT grp, 2, 'tax', 'quantity', regr_slope(tax, quantity), regr_intercept(tax, quantity), corr(tax, quantity) FROM parts GROUP BY grp)"""
 
 
-def _summaries(spark, sf):
-    """Stored prediction summaries, one nested row per group."""
+def _made_summaries(spark, sf):
+    """Prediction summaries, one nested row per group."""
     p, models = parts(spark, sf), None
     for step, target in enumerate(("discount", "tax"), 1):
         one = p.groupBy("grp").agg(F.lit(step).alias("step"), F.lit(target).alias("target"), F.lit("quantity").alias("predictor"), F.regr_slope(target, "quantity").alias("slope"),
@@ -254,12 +254,29 @@ def _summaries(spark, sf):
         models = one if models is None else models.unionByName(one)
     roles = p.select("grp").distinct().withColumn("r", F.explode(F.array(*[F.struct(F.lit(n).alias("parameter"), F.lit(r).alias("role")) for n, r in (
         ("quantity", "root"), ("discount", "derived"), ("tax", "derived"), ("p_size", "independent"))]))).select("grp", "r.*")
-    path = f"{_root(spark, 'summaries')}/summary"
-    made = S.prediction_summary(models, roles, ["grp"])
+    return S.prediction_summary(models, roles, ["grp"])
+
+
+def _summaries(spark, sf):
+    """The same, stored and read back."""
+    path, made = f"{_root(spark, 'summaries')}/summary", _made_summaries(spark, sf)
     S.write_json(made, path)
     return spark.read.schema(made.schema).json(path)
 
 
+# two stored summaries of each group: an older one without its last model, then the full one, beside one of another threshold
+@query("latest_models", sql("parts", "WITH " + _EQ + """ SELECT grp, target AS target_parameter, predictor AS predictor_parameter, round(slope, 3) AS slope, round(intercept, 3) AS intercept, round(r, 3) AS r,
+  row_number() OVER (PARTITION BY grp ORDER BY abs(round(m.r, 12)) DESC, target, predictor) AS place FROM m"""))
+def latest_models(spark, sf):
+    root, made = _root(spark, "thresholds"), _made_summaries(spark, sf)
+    short = made.withColumn("prediction_models", F.struct(F.slice("prediction_models.models", 1, 1).alias("models")))
+    S.write_json(short, f"{root}/run_linear_0.7_b/old")
+    S.write_json(made, f"{root}/run_linear_0.7_a/new")
+    S.write_json(short, f"{root}/run_linear_0.9_c/other")
+    latest = S.latest_summaries(spark, root, made.schema, ["grp"], "0.7")
+    return rounded(S.strongest_models(latest, ["grp"], 3).drop("r_squared"), 3)
+
+
 @query("stored_equations", sql("parts", "WITH " + _EQ + " SELECT grp, target AS target_parameter, predictor AS predictor_parameter, round(slope, 3) AS slope, round(intercept, 3) AS intercept, round(r, 3) AS r FROM m"))
 def stored_equations(spark, sf):
     return rounded(S.flatten_equations(_summaries(spark, sf), ["grp"], 9).drop("r_squared"), 3)

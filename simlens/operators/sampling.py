@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from simlens.functions import exprs as X
 from simlens.operators.clean import valid_samples
@@ -292,6 +293,21 @@ def percentage_grid(spark: SparkSession, defaults: dict[str, float], reach: int
     return df.withColumns({a: F.lit(float(va)) * (1 + F.col(f"{a}_pct") / 100), b: F.lit(float(vb)) * (1 + F.col(f"{b}_pct") / 100)})
 
 
+def two_way_design(scores: DataFrame, defaults: DataFrame, score: str = "mi", keys: Sequence[str] = (), reach: int = 50, step: int = 10) -> DataFrame:
+    """Percent-change grid around the defaults of the two parameters with the largest score of each key.
+
+    ``scores`` has (keys, parameter, score), ``defaults`` (parameter, value); names break ties. A key with fewer than two
+    scored parameters that have a default gives no design.
+    """
+    known = scores.join(defaults.select("parameter", F.col("value").cast("double").alias("__v")), "parameter").where(F.col(score).isNotNull())
+    ranked = known.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(score), "parameter"))).where("__r <= 2")        # a table of parameters, not rows
+    pair = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__r", "parameter", "__v"))).alias("__p")).where(F.size("__p") == 2)
+    pct = F.sequence(F.lit(-reach), F.lit(reach), F.lit(step))
+    grid = pair.select(*keys, F.element_at("__p", 1).alias("__a"), F.element_at("__p", 2).alias("__b")).withColumn("first_pct", F.explode(pct)).withColumn("second_pct", F.explode(pct))
+    return grid.select(*keys, F.col("__a.parameter").alias("first"), F.col("__b.parameter").alias("second"), "first_pct", "second_pct",
+                       (F.col("__a.__v") * (1 + F.col("first_pct") / 100)).alias("first_value"), (F.col("__b.__v") * (1 + F.col("second_pct") / 100)).alias("second_value"))
+
+
 # --- posterior scoring ----------------------------------------------------------------------------------------
 
 def parameter_error(df: DataFrame, truth: dict[str, float], ranges: dict[str, tuple[float, float]], weight: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 from pyspark.sql import types as T
 
 from simlens.functions import exprs as X
@@ -251,6 +252,29 @@ def flatten_equations(summary: DataFrame, keys: Sequence[str], digits: int = 4)
                     F.bround("m.prediction_quality.r_squared", digits).alias("r_squared"))
 
 
+def latest_summaries(spark, root: str, schema, keys: Sequence[str], threshold: str | None = None) -> DataFrame:
+    """Newest nested summary of each key below ``root``, from files ``<run folder>/.../*.json``.
+
+    The newest is the file that was written last, the larger path on a tie. ``threshold`` keeps run folders with
+    ``_linear_<threshold>_`` in their name. Adds ``summary_path``.
+    """
+    found = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(root)
+    rows = found.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_modification_time").alias("__time"))
+    if threshold is not None:
+        rows = rows.where(F.col("__path").contains(f"_linear_{threshold}_"))
+    columns = [c for c in found.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns, F.col("__path").alias("summary_path")), F.struct("__time", "__path")).alias("__s"))
+    return newest.select(*keys, "__s.*")
+
+
+def strongest_models(summary: DataFrame, keys: Sequence[str], n: int | None = 3) -> DataFrame:
+    """Equation rows of each summary in order of |r|, the first n of them; the target's name breaks ties."""
+    rows = flatten_equations(summary, keys, 12)
+    w = W.partitionBy(*keys).orderBy(F.desc_nulls_last(F.abs("r")), "target_parameter", "predictor_parameter")        # models of a summary: one per parameter
+    ranked = rows.withColumn("place", F.row_number().over(w).cast("bigint"))
+    return ranked if n is None else ranked.where(F.col("place") <= n)
+
+
 def derived_names(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Model targets together with the listed derived parameters."""
     a = summary.select(*keys, F.explode("prediction_models.models.target_parameter").alias("parameter"))
