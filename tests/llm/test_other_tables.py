@@ -71,6 +71,13 @@ PAGES = [
     ("<p>only a short text", "only a short text"), ("", ""), (None, ""), ("<!-- never closed <p>x", ""), ("<script>x", ""), ("a < b <p", "a < b <p"),
     ("<article><p title=\"a > b\">in &lt;tags&gt;</p></article><p>outside</p>", "in <tags>"),
     ("<article><header><h1>Kept</h1></header><p>Text</p><nav>no</nav></article>", "Kept\nText"),
+    ('<html class="no-sidebar"><body class="single has-sidebar"><article class="post no-comments"><p>In the article.</p></article></body></html>', "In the article."),
+    ('<body class="sidebar menu"><main id="comments"><p>In main.</p></main><div class="sidebar">side</div></body>', "In main."),
+    ("<body><form action=x><article><h1>All in a form</h1><p>" + "The page is a form of the server. " * 9 + "</p><label>Name</label><input><button>Go</button></article></form></body>",
+     "All in a form\n" + ("The page is a form of the server. " * 9).strip()),
+    ('<article><section id="notice-period"><p>' + "The notice period of the contract is set by the law of the land. " * 5 + "</p></section><div class='post-comments'><p>" + "I like the text of the page and all of it. " * 9 + "</p></div></article>",
+     ("The notice period of the contract is set by the law of the land. " * 5).strip()),
+    ('<article><p data-x="' + "y" * 2001 + "<b>z</b>" * 400 + '">long attribute</p></article>', "long attribute"),
 ]
 
 
