@@ -50,46 +50,53 @@ class LetterSpace:
         self.count += 1
 
     def _symbols(self, text: str) -> np.ndarray:
-        """Symbols of a text: 0 for each gap, others for letters."""
-        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        """Symbols of lower-case text: 0 for other characters, others for letters."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         if (self.symbol[codes] < 0).any():
             for code in np.unique(codes[self.symbol[codes] < 0]).tolist():
                 if chr(code).isalpha():
                     self._add(code)
                 else:
                     self.symbol[code] = 0
-        out = self.symbol[codes]
-        gap = out == 0
-        return out[~(gap & np.concatenate([[False], gap[:-1]]))]
-
-    def _grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        symbols = self._symbols(text)
-        if not symbols.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        symbols = np.concatenate([[0] * int(symbols[0] != 0), symbols, [0] * int(symbols[-1] != 0)]).astype(np.int64)
-        m = len(symbols) - self.n + 1
-        code = np.zeros(max(m, 0), np.int64)
-        for place in range(self.n):
-            code = (code << 20) | symbols[place:place + m] if m > 0 else code
-        return np.unique(code, return_counts=True)
+        return self.symbol[codes]
+
+    def _grams(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Codes and counts of the n-grams of a text, piece by piece: letters, with one gap between words and at both ends.
+
+        The last symbols of a piece go on to the next, so the length of a piece changes nothing.
+        """
+        text, tail, letters = text.lower(), np.zeros(1, np.int32), False
+        for at in range(0, len(text) + 1, PIECE):
+            last = at + PIECE > len(text)
+            stream = np.concatenate([tail, self._symbols(text[at:at + PIECE]), np.zeros(int(last), np.int32)])
+            kept = np.ones(len(stream), dtype=bool)
+            kept[len(tail):] = (stream[len(tail):] != 0) | (stream[len(tail) - 1:-1] != 0)
+            stream = stream[kept].astype(np.int64)
+            letters = letters or bool(stream.any())
+            m = len(stream) - self.n + 1
+            tail = stream[-(self.n - 1):].astype(np.int32)
+            if m > 0 and letters:
+                code = np.zeros(m, np.int64)
+                for place in range(self.n):
+                    code = (code << 20) | stream[place:place + m]
+                yield np.unique(code, return_counts=True)
 
     def vectors(self, texts: list[str]) -> np.ndarray:
         """Bundled vectors of texts, one row each; a text without letters gives zeros."""
-        cuts = [(i, text[at:at + PIECE + self.n - 1]) for i, text in enumerate(texts) for at in range(0, len(text), PIECE)]
-        found = [(i, *self._grams(piece)) for i, piece in cuts]
-        found = [(i, codes, counts) for i, codes, counts in found if len(codes)]
-        out = np.zeros((len(texts), self.dimensions), dtype=np.float32)
+        found = [(i, codes, counts) for i, text in enumerate(texts) for codes, counts in self._grams(text)]
+        exact = np.float32 if max(map(len, texts), default=0) < 1 << 23 else np.float64          # sums are whole numbers
+        out = np.zeros((len(texts), self.dimensions), dtype=exact)
         if not found:
             return out
         every, inverse = np.unique(np.concatenate([codes for _, codes, _ in found]), return_inverse=True)
-        weights = np.zeros((len(texts), len(every)), dtype=np.float32)
+        weights = np.zeros((len(texts), len(every)), dtype=exact)
         np.add.at(weights, (np.repeat([i for i, *_ in found], [len(c) for _, c, _ in found]), inverse), np.concatenate([n for *_, n in found]))
         for at in range(0, len(every), 8192):
             part = every[at:at + 8192]
             bound = np.ones((len(part), self.dimensions), dtype=np.int8)
             for place in range(self.n):
                 bound *= self.tables[place, (part >> (20 * (self.n - 1 - place))) & 0xFFFFF]
-            out += weights[:, at:at + 8192] @ bound.astype(np.float32)
+            out += weights[:, at:at + 8192] @ bound.astype(exact)
         return out
 
 
