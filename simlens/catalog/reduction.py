@@ -189,3 +189,20 @@ def learned_selection(spark, sf):
         two = Le.variance_sensitivity(w, model, parameters).where("other IS NULL").select(F.lit(metric).alias("metric"), "parameter", F.col("st").alias("score"))
         lasso, sobol = (one, two) if lasso is None else (lasso.unionByName(one), sobol.unionByName(two))
     return Le.importance_selection({"lasso": lasso, "sobol": sobol}, 2)
+
+
+@query("reconstruction_mae", sql("parts", """WITH f AS (SELECT avg(quantity) AS a, stddev_pop(quantity) AS b, avg(p_size) AS c, stddev_pop(p_size) AS d, sign(corr(quantity, p_size)) AS s FROM parts)
+  SELECT unnest(['quantity', 'p_size']) AS parameter, round(avg(abs((quantity - a) / b - s * (p_size - c) / d)) / 2, 6) AS mae FROM parts, f"""))
+def reconstruction_mae(spark, sf):
+    return rounded(R.reconstruction_mae(parts(spark, sf), ["quantity", "p_size"], 1), 6)
+
+
+# two parameters and a copy of one with noise: by linked correlations only the copy is redundant
+@query("redundancy_report", sql("parts", """WITH x AS (SELECT particle, p_size, p_size * 2 + particle % 3 AS twin, particle % 5 = 0 AS t FROM parts), f AS (SELECT regr_slope(twin, p_size) AS b, regr_intercept(twin, p_size) AS a FROM x WHERE NOT t),
+  l AS (SELECT any_value(b) AS slope, any_value(a) AS intercept, sqrt(avg(pow(twin - a - b * p_size, 2))) AS e, 1 - avg(pow(twin - a - b * p_size, 2)) / var_pop(twin) AS r2, count(*) AS n FROM x, f WHERE t), r AS (SELECT abs(corr(p_size, twin)) AS r FROM x)
+  SELECT 'p_size' AS parameter, 1 AS "group", round(r, 5) AS similarity, true AS representative, 'p_size' AS head, NULL::DOUBLE AS slope, NULL::DOUBLE AS prediction_r2, 0::BIGINT AS n_test FROM r
+  UNION ALL SELECT 'twin', 1, round(r, 5), false, 'p_size', round(slope, 5), round(r2, 5), n FROM r, l"""))
+def redundancy_report(spark, sf):
+    p = parts(spark, sf).withColumn("twin", F.col("p_size") * 2 + F.col("particle") % 3)
+    out = R.redundancy_report(p, ["p_size", "twin"], F.col("particle") % 5 == 0, method="correlation_clustering", components_used=1)
+    return rounded(out.select("parameter", "group", "similarity", "representative", "head", "slope", "prediction_r2", F.coalesce("n_test", F.lit(0)).alias("n_test")), 5)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -372,6 +372,56 @@ def reconstruction_error(df: DataFrame, columns: Sequence[str], components_used:
     return from_moments(moments(df, names, keys), keys, error, "parameter string, mse double, rmse double, std_after double, relative_error double, explained double")
 
 
+def reconstruction_mae(df: DataFrame, columns: Sequence[str], components_used: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean absolute error per standardised parameter when only the leading components are kept.
+
+    The matrix that leaves the rest comes from the moments of a group; the error is one more scan. Rows with a null are left out.
+    """
+    names = list(columns)
+
+    def rest(n, mean, cov):
+        _, _, q = _loadings(cov)
+        keep = q[:, :components_used]
+        matrix, sd = np.eye(len(names)) - keep @ keep.T, np.sqrt(np.diag(cov))
+        return [(i, p, matrix[i].tolist(), float(mean[i]), float(sd[i])) for i, p in enumerate(names)]
+
+    table = from_moments(moments(df, names, keys), keys, rest, "place int, parameter string, row array<double>, mean double, sd double")
+    packed = table.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "parameter", "row", "mean", "sd"))).alias("__m"))       # a matrix per group
+    present = df.select(*keys, F.array(*[F.col(c).cast("double") for c in names]).alias("__x")).where(F.forall("__x", lambda v: v.isNotNull()))
+    units = F.zip_with("__x", "__m", lambda v, m: F.coalesce(F.try_divide(v - m["mean"], m["sd"]), F.lit(0.0)))
+    each = keys_equal(present, packed, keys).withColumn("__z", units).withColumn("__m", F.explode("__m"))
+    error = F.abs(F.aggregate(F.zip_with("__m.row", "__z", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+    return each.groupBy(*keys, F.col("__m.parameter").alias("parameter")).agg(F.avg(error).alias("mae"))
+
+
+def redundancy_report(df: DataFrame, columns: Sequence[str], is_test: Column, threshold: float = 0.7, method: str = "loading_similarity",
+                      components_used: int = 2, keys: Sequence[str] = (), **options) -> DataFrame:
+    """One table of the whole redundancy analysis: a row per parameter of each group.
+
+    Group, similarity and representative of redundant parameters (null for the others), importance over the leading
+    components, reconstruction error, and for redundant ones the straight line from their representative, fitted on the
+    rows where ``is_test`` is false and judged on the others.
+    """
+    names = list(columns)
+    groups = cut(redundancy_groups(df, names, threshold, method, keys, **options))
+    heads = groups.where("representative").select(*keys, "group", F.col("parameter").alias("head"))
+    named = keys_equal(groups, heads, [*keys, "group"])
+    pairs = named.where("not representative").groupBy(*keys).agg(F.collect_list(F.struct("parameter", "head")).alias("__pairs"))       # fewer than the parameters
+    value = F.create_map(*[e for c in names for e in (F.lit(c), F.col(c).cast("double"))])
+    long = keys_equal(df.select(*keys, is_test.alias("__test"), value.alias("__v")), pairs, keys).withColumn("__p", F.explode("__pairs"))
+    long = long.select(*keys, "__test", "__p.*", F.element_at("__v", F.col("__p.parameter")).alias("y"), F.element_at("__v", F.col("__p.head")).alias("x"))
+    group = [*keys, "parameter", "head"]
+    fitted = long.where(~F.col("__test")).groupBy(*group).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    judged = keys_equal(long.where("__test"), fitted, group).withColumn("__e", F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"))
+    lines = judged.groupBy(*group).agg(F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("prediction_rmse"),
+                                       (1 - F.try_divide(F.avg(F.col("__e") * F.col("__e")), F.var_pop("y"))).alias("prediction_r2"), F.count(F.lit(1)).alias("n_test"))
+    own = [*keys, "parameter"]
+    errors = keys_equal(reconstruction_error(df, names, components_used, keys).select(*own, "rmse", "relative_error"), reconstruction_mae(df, names, components_used, keys), own)
+    scored = keys_equal(loading_importance(df, names, components_used, keys), errors, own)
+    out = keys_equal(scored, named.select(*own, "group", "similarity", "representative", "head"), own, "left")
+    return keys_equal(out, lines.drop("head"), own, "left")
+
+
 def redundant_predictions(df: DataFrame, pairs: dict[str, str], ident: str, seed: int, test_share: float = 0.2) -> DataFrame:
     """Straight-line prediction of each redundant parameter from its representative: fitted on a hash split, judged on the rest."""
     split = df.withColumn("__test", X.uniform(seed, F.lit("split"), ident) < test_share)
