@@ -9,7 +9,9 @@ then by hash). Two relations between sets save work:
   Lists are cut into blocks by set size and by whether the position can serve an equal or larger
   partner; a probe meets only blocks it can link with, and entries past their position are skipped.
 - *Answer level.* In each list every set is first compared with one centre, then, in rounds, those of
-  other components with members of the largest one. The distances to a list's first centre give answers for the others: a sum of two distances within the limit is a link without
+  other components with members of the largest one and the other way round. Rare shingles come first, so
+  the set that has the list's shingle earliest has the fewest shingles of its own: it is the centre, and
+  the next ones are the members that others are compared with. The distances to a list's first centre give answers for the others: a sum of two distances within the limit is a link without
   comparison, a difference beyond the limit is none. Sets already in one component need no answer.
   Only what is left is compared, so a group of n near copies costs about n comparisons, not n * n.
 
@@ -32,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simlens.llm.common import SPACES, Words, arrow_rows, blocks, cut, forget, gram_hashes, words_of
+from simlens.llm.common import SPACES, Words, arrow_rows, blocks, cut, forget, gram_hashes, likely_among, words_of
 
 #: Slots of the table of shingle counts and the most shingles that may enter it: fixed, sent to all tasks.
 SLOTS = 1 << 22
@@ -160,7 +162,8 @@ def index_lists(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataF
                .where("n > 1 and some").drop("n", "some"))
     distinct = (several.join(labels, "row").select("token", F.col("label").alias("row"), "size", "pos", "inner")
                 .dropDuplicates(["token", "row"]))
-    return cut(distinct.withColumn("n", F.count("*").over(whole)).withColumn("centre", F.min("row").over(whole)).where("n > 1").drop("n"))
+    first = F.min(F.struct("pos", "row")).over(whole)
+    return cut(distinct.withColumn("n", F.count("*").over(whole)).withColumn("centre", first["row"]).where("n > 1").drop("n"))
 
 
 def can_link(a_size: Column, b_size: Column, num: int, den: int) -> Column:
@@ -190,6 +193,9 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
                     link.append(den * common >= num * (len(left) + len(right) - common))
             yield {"a": a, "b": b, "distance": distance, "link": link}
 
+    pairs = cut(pairs)
+    met = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    texts = likely_among(texts, "row", met)                # the rest would only be shuffled
     both = (pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("b_text")), "b")
             .join(texts.select(F.col("row").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text"))
     return cut(arrow_rows(both, compare, "a long, b long, distance long, link boolean"))
@@ -270,11 +276,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             size, before, open_pairs = entries.count(), open_pairs, open_pairs_of(entries)
             if open_pairs <= PAIRS_PER_ENTRY * size or turn == ROUNDS or before is not None and open_pairs > 0.75 * before:
                 break
-            # in each list some rows, drawn anew: of the component that is largest there, in every other round of the rest
+            # in each list the next members by position: of the component that is largest there, in every other round of the rest
             ranked = entries.withColumn("here", F.count("*").over(Window.partitionBy("token", "label")))
             ranked = ranked.withColumn("least", F.min(F.struct(-F.col("here"), "label")).over(Window.partitionBy("token")))
-            draw = Window.partitionBy("token").orderBy((F.col("label") == F.col("least.label")) == F.lit(turn % 2 == 0), F.xxhash64("row", F.lit(turn)), "row")
-            entries = cut(ranked.withColumn("central", F.row_number().over(draw) <= HUBS).drop("here", "least"))
+            wanted = (F.col("label") == F.col("least.label")) == F.lit(turn % 2 == 1)
+            place = F.row_number().over(Window.partitionBy("token", wanted).orderBy("pos", "row"))
+            past = (turn - 1) // 2 * HUBS                      # members that had their turn
+            entries, spent = cut(ranked.withColumn("central", wanted & (place > past) & (place <= past + HUBS)).drop("here", "least")), entries
+            forget(spent)
             centre = F.col("central")
         near = (entries.where(centre).alias("c").join(entries.alias("e"), F.col("c.token") == F.col("e.token"))
                 .where((F.col("e.row") != F.col("c.row")) & (F.col("e.label") != F.col("c.label")))
@@ -284,6 +293,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             near = near.join(both_ways(answers), ["a", "b"], "left_anti")
         found = compared(near, texts, n, num, den)
         answers = found if answers is None else answers.unionByName(found)
+        if turn:
+            forget(entries)
         labels = relabelled(labels, found.where("link"))
 
     left = (unresolved(lists, labels)
@@ -292,6 +303,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             .withColumn("band", F.floor(F.log("size") / F.log(F.lit(den / num * 1.01))))
             .select("token", "row", "size", "pos", "inner", "label", "distance", "band"))
     left = cut(left)
+    forget(lists)
     # an index entry serves partners of its own size band and the next one, up to the size its position allows
     blocks_of = left.where("inner").withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
     reach = (F.col("y.size") - F.col("y.pos")) * ((num + den) / num) - F.col("y.size")
@@ -305,7 +317,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                    F.coalesce((F.col("x.distance") + F.col("y.distance")) * (num + den) <= limit, F.lit(False)).alias("sure"))
            .groupBy("a", "b").agg(F.max("sure").alias("sure")))
     met = cut(met.join(both_ways(answers), ["a", "b"], "left_anti"))
+    forget(left)
     found = compared(met.where("not sure").select("a", "b"), texts, n, num, den)
+    forget(texts)
     labels = relabelled(labels, found.where("link").select("a", "b").unionByName(met.where("sure").select("a", "b")))
 
     rows = sets.select("row", "doc_id", "text_hash", "size").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))

@@ -276,3 +276,41 @@ def test_dual_coordinate_descent_reaches_the_optimum():
 
 def test_held_out_rule():
     assert held_out_id(None) and held_out_id(3) == (zlib.crc32(b"3") % 5 == 0)
+
+
+def test_large_group_of_near_copies(spark, make_docs):
+    """Copies of one text with more and more changed words: links among them by all pairs of sets."""
+    import random
+
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(400)}" for _ in range(220)]
+    texts = []
+    for i in range(260):
+        own = list(base)
+        for _ in range(draw.randrange(1, 7)):
+            own[draw.randrange(len(own))] = f"x{draw.randrange(10 ** 6)}"
+        texts.append(" ".join(own))
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    lowest = list(range(len(texts)))
+
+    def root(i):
+        while lowest[i] != i:
+            i = lowest[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                lowest[b] = a
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(make_docs(texts)).collect()}
+    assert got == {i: root(i) for i in range(len(texts))} and 1 < len(set(got.values())) < 200
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 64])
+def test_language_vectors_do_not_depend_on_the_piece_length(monkeypatch, piece):
+    texts = ["", " ", "a", "ab c", "Ὀδυσσεύς  ΣΑΣ, σας", "x1y2 \n z", "The quick--brown fox. " * 9, "...a", "a...", "é" * 70]
+    whole = language.LetterSpace().vectors(texts)
+    monkeypatch.setattr(language, "PIECE", piece)
+    assert (language.LetterSpace().vectors(texts) == whole).all()
+    assert not whole[0].any() and not whole[1].any() and whole[2].any()
