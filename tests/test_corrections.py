@@ -108,3 +108,18 @@ def test_product_of_many_weights_does_not_underflow(spark):
     frame = spark.createDataFrame(rows, "particle long, w double").withColumn("log_weight", F.log("w") * 4000 - 5000)
     got = {r["particle"]: r["weight"] for r in Wt.normalise_log(frame, []).collect()}
     assert got[0] == pytest.approx(1.0) and got[1] < 1e-300
+
+
+def test_constrained_box_on_the_route_of_large_inputs(spark, cloud):
+    def found():
+        return [sorted(tuple(r) for r in f(cloud, ["a", "b"], ["s1", "s2"]).collect()) for f in (D.constrained_relationships, D.constrained_correlations)]
+    small = found()
+    spark.conf.set("simlens.smallBytes", "0")
+    try:
+        large = found()
+    finally:
+        spark.conf.unset("simlens.smallBytes")
+    for a, b in zip(small, large):
+        assert len(a) == len(b) > 0
+        for x, y in zip(a, b):
+            assert x[0] == y[0] and [v for v in x if isinstance(v, float)] == pytest.approx([v for v in y if isinstance(v, float)])
