@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from simlens.functions import exprs as X
 from simlens.operators.ordered import attach, keys_equal, running
+from simlens.session import is_small, settled
 
 
 def normalise(df: DataFrame, keys: Sequence[str], weight: str = "weight") -> DataFrame:
@@ -81,6 +82,7 @@ def resample(df: DataFrame, n: int, seed: int, ident: str, keys: Sequence[str] =
     ``uniforms``: optional (keys, draw, u) table; otherwise u is a hash of seed, group and draw.
     """
     # weights become whole numbers of 2^-52 of the group's largest power of two: their sums are exact in any order
+    df = settled(df)
     known = attach(df, keys, __top=F.max(weight))
     usable = F.when(F.col("__top") > 0, F.col(weight) > 0).otherwise(F.raise_error(F.lit("weights sum to zero")).cast("boolean"))
     unit = F.pow(F.lit(2.0), F.floor(F.log2("__top")) - 52)
@@ -104,21 +106,24 @@ def resample(df: DataFrame, n: int, seed: int, ident: str, keys: Sequence[str] =
 
 
 def next_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, bound: int | None = None) -> DataFrame:
-    """Fills NULLs of ``value`` with the next non-null value in the group's order (backward fill)."""
+    """Fills NULLs of ``value`` with the next non-null value in the group's order (backward fill).
+
+    Rows are taken from the end: Spark carries a frame that grows on from row to row, but reads one that shrinks anew for each row.
+    """
     from pyspark.sql.window import Window as W
-    from simlens.operators.ordered import _ranges, is_small
+    from simlens.operators.ordered import _ranges
     if is_small(df, bound):
-        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(0, W.unboundedFollowing)
-        return df.withColumn(value, F.first(value, ignorenulls=True).over(w))
-    split = _ranges(df, keys, order)
+        w = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumn(value, F.last(value, ignorenulls=True).over(w))
+    split = _ranges(settled(df), keys, order)
     heads = split.where(F.col(value).isNotNull()).groupBy(*keys, "__range").agg(
         F.min_by(value, F.struct(*order)).alias("__head"))
     spans = split.select(*keys, "__range").distinct()
     later = W.partitionBy(*keys).orderBy("__range").rowsBetween(1, W.unboundedFollowing)
     carry = keys_equal(spans, heads, [*keys, "__range"], "left").withColumn("__carry", F.first("__head", ignorenulls=True).over(later))
     joined = keys_equal(split, carry.drop("__head"), [*keys, "__range"])
-    w = W.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(0, W.unboundedFollowing)
-    filled = F.coalesce(F.first(value, ignorenulls=True).over(w), F.col("__carry"))
+    w = W.partitionBy(*keys, "__range").orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
+    filled = F.coalesce(F.last(value, ignorenulls=True).over(w), F.col("__carry"))
     return joined.withColumn(value, filled).drop("__carry", "__range")
 
 
