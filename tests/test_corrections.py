@@ -123,3 +123,35 @@ def test_constrained_box_on_the_route_of_large_inputs(spark, cloud):
         assert len(a) == len(b) > 0
         for x, y in zip(a, b):
             assert x[0] == y[0] and [v for v in x if isinstance(v, float)] == pytest.approx([v for v in y if isinstance(v, float)])
+
+
+@pytest.mark.parametrize("bound", [None, 0])
+def test_next_value_reads_no_shrinking_frame(spark, bound):
+    n = 20_000
+    df = spark.range(n).select("id", (F.col("id") % 2).alias("k"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("v"))
+    got = Wt.next_value(df, ["k"], ["id"], "v", bound)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "currentrow$(), unboundedfollowing" not in plan.replace("specifiedwindowframe(RowFrame, ", "")
+    rows = {r["id"]: r["v"] for r in got.collect()}
+    for k in (0, 1):
+        after = None
+        for i in range(n - 2 + k, -1, -2):
+            after = i if i % 7 == 0 else after
+            assert rows[i] == after
+
+
+def test_bootstrap_draws_from_one_order_of_the_particles(spark, cloud, monkeypatch):
+    from simlens.operators import modes as M
+    seen = {}
+
+    def resample(df, *args, **options):
+        seen["rows"], seen["drawn"] = df.count(), Wt.resample(df, *args, **options)
+        return seen["drawn"]
+    monkeypatch.setattr(M, "resample", resample)
+    points = cloud.select("particle", F.col("s1").alias("pc1"), F.col("s2").alias("pc2"), (F.col("a") + 0.1).alias("w"))
+    centres = spark.createDataFrame([(1, 1.0, 0.0)], "peak int, x double, y double")
+    M.bootstrap_peaks(points, "particle", centres, 6, 11, 50, weight="w", size=10).collect()
+    assert seen["rows"] == 400
+    copies = points.withColumnRenamed("w", "weight").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    want = Wt.resample(copies, 50, 11, "particle", ["replicate"]).select((F.col("replicate") * 50 - 50 + F.col("draw")).alias("draw"), "particle")
+    assert sorted(map(tuple, seen["drawn"].select("draw", "particle").collect())) == sorted(map(tuple, want.collect()))
