@@ -155,3 +155,17 @@ def test_bootstrap_draws_from_one_order_of_the_particles(spark, cloud, monkeypat
     copies = points.withColumnRenamed("w", "weight").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(6))))
     want = Wt.resample(copies, 50, 11, "particle", ["replicate"]).select((F.col("replicate") * 50 - 50 + F.col("draw")).alias("draw"), "particle")
     assert sorted(map(tuple, seen["drawn"].select("draw", "particle").collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_moments_of_many_columns(spark, keys):
+    rng = np.random.default_rng(2)
+    x = rng.normal(100, 1, (300, 20)) @ rng.normal(0, 1, (20, 20))
+    names = [f"c{i}" for i in range(20)]
+    rows = [(("a", "b")[i % 2], *map(float, r)) for i, r in enumerate(x)] + [("a", None, *[1.0] * 19)]
+    m = D.moments(spark.createDataFrame(rows, "k string, " + ", ".join(f"{c} double" for c in names)).repartition(3), names, keys)
+    assert m._jdf.queryExecution().optimizedPlan().toString().count("covar_pop") == 0
+    for r in m.collect():
+        part = x[("a", "b").index(r["k"])::2] if keys else x
+        assert r["n"] == len(part) and r["mean"] == pytest.approx(part.mean(axis=0).tolist())
+        assert np.allclose(np.reshape(r["cov"], (20, 20)), np.cov(part.T, bias=True))
