@@ -13,14 +13,16 @@ LOCATIONS = "coordinate array<int>, _corrupt_record string"
 
 
 def _path() -> Column:
-    return F.regexp_replace(F.col("_metadata.file_path"), "%20", " ")
+    return F.replace(F.col("_metadata.file_path"), F.lit("%20"), F.lit(" "))
 
 
 def file_keys(path: Column, kind: str) -> dict[str, Column]:
+    # every row of a file asks for its keys: the pattern meets the short file name, not each place of a long path
     pattern = rf"([^/_]+)_([^/]+)_(\d+)_(\d+)\.{kind}\.json$"
-    part = [F.regexp_extract(path, pattern, i) for i in range(1, 5)]
+    name = F.substring_index(path, "/", -1)
+    part = [F.regexp_extract(name, pattern, i) for i in range(1, 5)]
     return {"exp_group": part[0], "exp_name": part[1], "seed": F.when(part[2] != "", part[2].cast("int")),
-            "t_min": F.when(part[3] != "", part[3].cast("int")), "folder": F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)}
+            "t_min": F.when(part[3] != "", part[3].cast("int")), "folder": F.when(F.contains(path, F.lit("/")), F.substring_index(F.substring_index(path, "/", -2), "/", 1)).otherwise(F.lit(""))}
 
 
 def _scan(spark: SparkSession, root: str, kind: str, schema: str, t_min: int | None) -> DataFrame:

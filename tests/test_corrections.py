@@ -169,3 +169,17 @@ def test_moments_of_many_columns(spark, keys):
         part = x[("a", "b").index(r["k"])::2] if keys else x
         assert r["n"] == len(part) and r["mean"] == pytest.approx(part.mean(axis=0).tolist())
         assert np.allclose(np.reshape(r["cov"], (20, 20)), np.cov(part.T, bias=True))
+
+
+def test_file_keys_of_long_paths(spark):
+    import re
+    from simlens.sources import snapshots
+    names = ["exp_run_0001_014400.CELLS.json", "a_b_c_7_8.CELLS.json", "a_1_2.CELLS.json", "_x_y_1_2.CELLS.json", "a__1_2.CELLS.json", "a_b_1_x.CELLS.json"]
+    paths = [f"file:/data/{f}/{n}" for f in ("input_3", "a b", "x_1_2_3") for n in names]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string")
+    for r in rows.select("p", *[c.alias(n) for n, c in snapshots.file_keys(F.col("p"), "CELLS").items()]).collect():
+        m = re.search(r"([^/_]+)_([^/]+)_(\d+)_(\d+)\.CELLS\.json$", r["p"])
+        assert (r["exp_group"], r["exp_name"], r["seed"], r["t_min"]) == ((m[1], m[2], int(m[3]), int(m[4])) if m else ("", "", None, None))
+        assert r["folder"] == r["p"].split("/")[-2]
+    plan = rows.select(*[c.alias(n) for n, c in snapshots.file_keys(F.col("p"), "CELLS").items()])._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract(p#" not in plan        # a pattern over a whole path starts anew at each of its places, for each row
