@@ -46,6 +46,36 @@ def test_quantiles_without_keys(table):
     assert np.allclose(got, np.quantile(pdf.v, [0.1, 0.5]))
 
 
+def test_quantiles_of_values_far_apart(spark):
+    """Bins of equal width cannot tell these from each other, and infinities have no width at all."""
+    rng = np.random.default_rng(2)
+    values = np.concatenate([10.0 ** rng.uniform(-300, 300, 3000), -(10.0 ** rng.uniform(-300, 300, 3000)), [np.inf] * 40, [-np.inf] * 40])
+    df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(5)
+    probs = [0.0, 0.2, 0.4999, 0.7, 0.9, 1.0]
+    got = o.quantiles(df, [], "v", probs, bound=0, range_rows=100).first().q
+    assert (got[0], got[-1]) == (-np.inf, np.inf)
+    assert np.allclose(got[1:-1], np.quantile(values, probs[1:-1]), rtol=1e-12)
+
+
+def test_quantiles_shuffle_no_rows_of_large_groups(spark):
+    """What meets in a task are counts of bins; the rows themselves stay where they are read."""
+    df = spark.range(50_000).withColumn("v", F.rand(1) * F.rand(2))
+    seen = []
+    plain = o._divided
+
+    def watched(data, intervals, keys):
+        out = plain(data, intervals, keys)
+        seen.append(out.count())
+        return out
+    o._divided = watched
+    try:
+        got = o.quantiles(df, [], "v", [0.5], bound=0, range_rows=100).first().q[0]
+    finally:
+        o._divided = plain
+    assert got == pytest.approx(df.agg(F.percentile("v", 0.5)).first()[0])
+    assert seen and max(seen) <= 2
+
+
 @pytest.mark.parametrize("bound", [None, 0])
 def test_ranks(table, bound):
     df, pdf = table
