@@ -33,6 +33,19 @@ def test_forest_does_not_depend_on_the_small_node_size(spark, cloud, criterion):
     assert got[0] == got[1] and sum(w for _, w in got[0]) == pytest.approx(1)
 
 
+def test_forest_of_a_hundred_thousand_rows_needs_no_levels(spark, monkeypatch):
+    """Cuts near the ends shorten a node by a few rows, so levels are many and jobs per level must not meet such nodes."""
+    rows = spark.range(100_000).select(F.col("id").alias("particle"), F.rand(1).alias("a"), F.rand(2).alias("s1"), F.rand(3).alias("s2"))
+    seen = spark.createDataFrame([(0.5, 0.5)], "s1 double, s2 double")
+
+    def level(*_):
+        raise AssertionError("a level of jobs for a small node")
+    monkeypatch.setattr(Fo, "_cut_of_boxes", level)
+    for criterion in ("cart", "mmd"):
+        w = Fo.forest_weights(rows, seen, "particle", ["a"], ["s1", "s2"], trees=1, criterion=criterion, features=4)
+        assert w.agg(F.sum("weight")).first()[0] == pytest.approx(1)
+
+
 def test_python_draws_equal_column_draws(spark):
     ids = [(3, 5, -7), (0, 1, 2 ** 62)]
     frame = spark.createDataFrame(ids, "g long, t int, n long")
