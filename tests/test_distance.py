@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from simlens.operators import dependence as D
 from simlens.operators import distance
@@ -95,3 +96,25 @@ def test_refit_grid_reads_all_settings_off_one_growth(spark):
     row = grid[2, 3, 4]
     assert math.isclose(row["ess"], weights.sum() ** 2 / (weights ** 2).sum()) and row["support"] == (weights > 0).sum() and row["n_particles"] == 150
     assert all(r["support"] >= grid[k[0], k[1], 1]["support"] for k, r in grid.items())
+
+
+def test_hundred_thousand_points_of_several_metrics_are_not_ordered_by_direction(spark, monkeypatch):
+    """Rows for each direction and bit of the rank filled the disks; a task of a few directions keeps them to itself."""
+    def numbered(*_):
+        raise AssertionError("rows for each direction")
+    monkeypatch.setattr(distance, "_numbered", numbered)
+    df = spark.range(100_000).select("id", F.rand(1).alias("p"), F.rand(2).alias("a"), F.rand(3).alias("b"))
+    got = distance.joint_distance_correlation(df, "id", ["p"], ["a", "b"], 2).first()
+    assert got["n"] == 100_000 and 0 <= got["distance_correlation"] < 0.05
+
+
+def test_low_bits_are_not_shuffled(spark, monkeypatch):
+    sizes, plain = [], distance.running
+
+    def watched(df, *args, **options):
+        sizes.append(df.count())
+        return plain(df, *args, **options)
+    monkeypatch.setattr(distance, "running", watched)
+    df = spark.range(64).select(F.lit(1).alias("k"), "id", F.rand(1).alias("x"), F.rand(2).alias("y"))
+    distance.distance_correlation(df, ["k"], "id", "x", "y", bound=0).collect()
+    assert max(sizes) == 128        # two of six bits
