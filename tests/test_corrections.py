@@ -46,6 +46,23 @@ def test_forest_of_a_hundred_thousand_rows_needs_no_levels(spark, monkeypatch):
         assert w.agg(F.sum("weight")).first()[0] == pytest.approx(1)
 
 
+def test_whole_trees_write_no_row_per_tree_and_particle(spark, cloud, monkeypatch):
+    seen = spark.createDataFrame([(1.0, 0.2)], "s1 double, s2 double")
+    options = dict(trees=5, min_leaf=5, seed=3, full=True)
+    large, _ = Fo.grow(cloud, seen, "particle", ["a", "b"], ["s1", "s2"], finish=60, **options)
+    written, plain = [], Fo.cut
+
+    def watched(df, *args):
+        out = plain(df, *args)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(Fo, "cut", watched)
+    nodes, _ = Fo.grow(cloud, seen, "particle", ["a", "b"], ["s1", "s2"], with_members=False, **options)
+    columns = ["tree", "node", "stat", "cut_value", "threshold"]
+    assert sorted(map(tuple, nodes.select(*columns).collect())) == sorted(map(tuple, large.select(*columns).collect()))
+    assert max(written) <= 400
+
+
 def test_python_draws_equal_column_draws(spark):
     ids = [(3, 5, -7), (0, 1, 2 ** 62)]
     frame = spark.createDataFrame(ids, "g long, t int, n long")
