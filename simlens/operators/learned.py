@@ -14,18 +14,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from simlens.functions import exprs as X
+from simlens.operators.binned import grow
 from simlens.operators.clean import drop_invalid_rows
 from simlens.operators.ordered import attach
 from simlens.operators.sampling import sobol
-from simlens.session import literal_table
+from simlens.session import literal_table, settled
 
 
 def forest_importance(df: DataFrame, parameters: Sequence[str], metric: str, trees: int = 100, seed: int = 42, depth: int = 30):
-    """(importance table, fitted model) of a regression forest for one metric; ``depth`` is the deepest that MLlib grows by default here."""
-    data = drop_invalid_rows(df, [*parameters, metric])
-    rows = VectorAssembler(inputCols=list(parameters), outputCol="features").transform(data)
-    model = RandomForestRegressor(featuresCol="features", labelCol=metric, numTrees=trees, seed=seed, maxDepth=depth).fit(rows)
-    scores = model.featureImportances.toArray()
+    """(importance table, fitted model) of a regression forest for one metric over parameters in 32 bins.
+
+    Trees are grown in tasks of their own from sums per cell of bins; where the cells are too many for that, MLlib grows
+    the forest level by level over all rows.
+    """
+    data = settled(drop_invalid_rows(df, [*parameters, metric]).select(*parameters, metric))
+    model = grow(data, parameters, metric, trees, seed, depth)
+    if model is not None:
+        scores = model.importances()
+    else:
+        rows = VectorAssembler(inputCols=list(parameters), outputCol="features").transform(data)
+        model = RandomForestRegressor(featuresCol="features", labelCol=metric, numTrees=trees, seed=seed, maxDepth=depth).fit(rows)
+        scores = model.featureImportances.toArray()
     table = literal_table(df.sparkSession, [(metric, p, float(s)) for p, s in zip(parameters, scores)], "metric string, parameter string, importance double")
     return table, model
 
