@@ -177,5 +177,5 @@ def trajectory_sample(spark, sf):
 def seed_subsets(spark, sf):
     from simlens.operators.subsets import subset_errors
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("folder"), F.col("l_quantity").alias("value"), *order)
-    return rounded(subset_errors(O.running(li, ["folder"], order, "rn"), ["folder"], "rn", "value", 4, 2, "median"), 6)
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("folder"), F.col("l_quantity").alias("value"), F.struct(*order).alias("place"))
+    return rounded(subset_errors(li, ["folder"], "place", "value", 4, 2, "median"), 6)

@@ -52,3 +52,21 @@ def test_importance_weights_count_copies(spark):
         terms = np.log(near.weight / p.weight.sum()) - 0.5 * (((near.x - r.x) / 0.5) ** 2 + ((near.z - r.z) / 0.5) ** 2)
         want = np.logaddexp.reduce(terms) - 2 * math.log(0.5 * math.sqrt(2 * math.pi)) - math.log(5)
         assert math.isclose(got[r.particle], want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_subset_errors_write_no_row_per_subset(spark):
+    from itertools import combinations
+
+    from simlens.operators.subsets import subset_errors
+    rng = np.random.default_rng(2)
+    values = {g: rng.normal(size=6) for g in range(4)}
+    df = spark.createDataFrame([(g, i, float(v)) for g, vs in values.items() for i, v in enumerate(vs)] + [(9, 0, 1.0), (0, 6, None)], "g long, i long, v double")
+    out = subset_errors(df, ["g"], "i", "v", 6, 3, "median")
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.g: r for r in out.collect()}
+    assert set(got) == set(values)
+    for g, vs in values.items():
+        errors = [abs(np.median(c) - np.median(vs)) for c in combinations(vs, 3)]
+        assert got[g].subsets == 20
+        assert math.isclose(got[g].median_error, np.median(errors), rel_tol=1e-12, abs_tol=1e-15)
+        assert math.isclose(got[g].q95_error, np.quantile(errors, 0.95), rel_tol=1e-12)
