@@ -70,3 +70,21 @@ def test_subset_errors_write_no_row_per_subset(spark):
         assert got[g].subsets == 20
         assert math.isclose(got[g].median_error, np.median(errors), rel_tol=1e-12, abs_tol=1e-15)
         assert math.isclose(got[g].q95_error, np.quantile(errors, 0.95), rel_tol=1e-12)
+
+
+def test_information_over_k_searches_once(spark, monkeypatch):
+    from simlens.operators import dependence as D
+    rng, seen = np.random.default_rng(4), []
+    pdf = pd.DataFrame({"id": np.arange(120), "g": ["a"] * 116 + ["b"] * 4, "x": rng.normal(size=120)}).assign(y=lambda d: d.x + rng.normal(size=120))
+    df, visit = spark.createDataFrame(pdf), N.visit
+    each = {k: {r.g: (r.n, r.mi) for r in D.mutual_information(df, "id", ["x"], ["y"], k, ["g"]).collect()} for k in (3, 5)}
+
+    def counted(*rest, **more):
+        seen.append(1)
+        return visit(*rest, **more)
+    monkeypatch.setattr(N, "visit", counted)
+    rows = D.mi_over_k(df, "id", ["x"], ["y"], (3, 5), ["g"]).collect()
+    assert seen == [1]
+    assert {(r.k, r.g) for r in rows} == {(3, "a"), (3, "b"), (5, "a")}        # four points have no fifth neighbour
+    for r in rows:
+        assert r.n == each[r.k][r.g][0] and math.isclose(r.mi, each[r.k][r.g][1], rel_tol=1e-12, abs_tol=1e-12)
