@@ -46,6 +46,38 @@ def test_forest_of_a_hundred_thousand_rows_needs_no_levels(spark, monkeypatch):
         assert w.agg(F.sum("weight")).first()[0] == pytest.approx(1)
 
 
+def test_forest_that_fits_a_task_unfolds_no_row_per_tree(spark, cloud, monkeypatch):
+    """The way of an observed row needs a particle once for each part of the trees, not once for each tree."""
+    seen = spark.createDataFrame([(1.0, 0.2)], "s1 double, s2 double")
+
+    def spread(*_):
+        raise AssertionError("a row per tree and particle")
+    monkeypatch.setattr(Fo._Boxes, "spread", spread)
+    w = Fo.forest_weights(cloud, seen, "particle", ["a", "b"], ["s1", "s2"], trees=30, min_leaf=5)
+    assert w.count() == 400 and w.agg(F.sum("weight")).first()[0] == pytest.approx(1)
+
+
+@pytest.mark.parametrize("honest", [0.5, None])
+def test_forest_of_one_task_equals_levels_on_odd_rows(spark, cloud, honest):
+    """Text ids, missing statistics, a group without particles and one without an observed row."""
+    odd = cloud.withColumns({"particle": F.concat(F.lit("p"), "particle"), "g": F.when(F.col("particle") % 9 == 0, "idle").when(F.col("particle") % 3 > 0, "full"),
+                             "s1": F.when(F.col("particle") % 11 > 0, F.col("s1")), "s2": F.when(F.col("particle") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("s2"))})
+    seen = spark.createDataFrame([("full", 1.0, 0.2), (None, 0.4, 0.1), ("none", 0.5, 0.5)], "g string, s1 double, s2 double")
+    got = []
+    for finish in (100_000, 150):
+        nodes, members = Fo.grow(odd, seen, "particle", ["a", "b"], ["s1", "s2"], 3, honest=honest, keys=["g"], finish=finish)
+        got.append([sorted(map(repr, members.select("g", "tree", "node", "particle", "role", "copies").collect())),
+                    sorted(map(repr, nodes.select("g", "tree", "node", "stat", "cut_value", "threshold").collect()))])
+    assert got[0] == got[1] and len(got[0][1]) > 6
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "string"])
+def test_draws_of_many_rows_equal_column_draws(spark, kind):
+    rows = spark.createDataFrame([(0,), (1,), (-5,), (2 ** 31 - 1,)], "n long").select(F.col("n").cast(kind)).select(
+        "n", X.uniform(4, F.lit("split"), F.lit(7), "n").alias("u"), F.xxhash64(F.lit(4), F.lit("split"), F.lit(7)).alias("h")).toPandas()
+    assert list(X.uniforms_of(rows["n"].to_numpy())(int(rows["h"][0]))) == list(rows["u"])
+
+
 def test_whole_trees_write_no_row_per_tree_and_particle(spark, cloud, monkeypatch):
     seen = spark.createDataFrame([(1.0, 0.2)], "s1 double, s2 double")
     options = dict(trees=5, min_leaf=5, seed=3, full=True)
