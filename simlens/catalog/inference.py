@@ -164,7 +164,7 @@ _IW = """WITH prev AS (SELECT * FROM parts WHERE grp < 'M'), cur AS (SELECT * FR
 
 @query("importance_weights", sql("parts", _IW))
 def importance_weights(spark, sf):
-    p = parts(spark, sf).withColumn("weight", F.col("n_lines").cast("double"))
+    p = cut(parts(spark, sf)).withColumn("weight", F.col("n_lines").cast("double"))
     prev, cur = p.where("grp < 'M'"), p.where("grp >= 'M'")
     out = smc.importance_weights(cur, prev, {"quantity": (20.0, 30.0), "tax": (0.03, 0.05)}, 0.1, spacings=["p_size"])
     return rounded(out.select("particle", "log_denominator"), 6)

@@ -18,7 +18,7 @@ from simlens.operators.clean import drop_invalid_rows
 from simlens.operators.forest import forest_weights, univariate_weights
 from simlens.operators.ordered import keys_equal, running
 from simlens.operators.weights import effective_size, resample
-from simlens.session import cut, literal_table
+from simlens.session import cut, literal_table, settled
 
 
 @dataclass
@@ -149,14 +149,17 @@ def posterior_sample(particles: DataFrame, weights: DataFrame, n: int, seed: int
 
 def importance_weights(current: DataFrame, previous: DataFrame, ranges: dict[str, tuple[float, float]], width: float, density: Column | None = None,
                        spacings: Sequence[str] = (), reach: int = 4, forest: str | None = None, ident: str = "particle",
-                       block: int = N.BLOCK, bound: int | None = None) -> DataFrame:
+                       block: int = 4 * N.BLOCK, bound: int | None = None) -> DataFrame:
     """(ident, log_denominator, weight): prior (or forest weight) over the mixture of kernels around the previous generation.
 
-    ``previous`` carries ``weight``. Normal kernels per parameter; the spacings must lie within ``reach`` steps.
+    ``previous`` carries ``weight``. Normal kernels per parameter; the spacings must lie within ``reach`` steps. A wide
+    kernel meets most shards, and a query is written once for each of them, so shards are larger than elsewhere.
     """
     import math
     names = list(ranges)
     sd = {p: (hi - lo) * width for p, (lo, hi) in ranges.items()}
+    # both tables and the sums below are read several times: what made them runs once
+    previous, current = settled(previous), settled(current)
     total = previous.agg(F.sum("weight").alias("__t"))
     points = keys_equal(previous.where("weight > 0"), total, []).select(
         F.col(ident), *[(F.col(p) / sd[p]).alias(p) for p in names], *spacings, F.ln(F.col("weight") / F.col("__t")).alias("__lw"), F.lit(False).alias("__query"))
@@ -169,7 +172,7 @@ def importance_weights(current: DataFrame, previous: DataFrame, ranges: dict[str
     top = F.col(forest) if forest else (density if density is not None else F.lit(1.0))
     j = j.withColumn("__num", top.cast("double"))
     logw = F.when((F.col("__num") > 0) & (F.col("log_denominator") > F.lit(float("-inf"))), F.ln("__num") - F.col("log_denominator"))
-    j = j.withColumn("__l", logw)
+    j = cut(j.select(ident, "log_denominator", logw.alias("__l")))
     peak = j.agg(F.max("__l").alias("__m"))
     j = keys_equal(j, peak, []).withColumn("__w", F.coalesce(F.exp(F.col("__l") - F.col("__m")), F.lit(0.0)))
     sum_ = j.agg(F.sum("__w").alias("__s"))

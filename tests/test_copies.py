@@ -88,3 +88,17 @@ def test_information_over_k_searches_once(spark, monkeypatch):
     assert {(r.k, r.g) for r in rows} == {(3, "a"), (3, "b"), (5, "a")}        # four points have no fifth neighbour
     for r in rows:
         assert r.n == each[r.k][r.g][0] and math.isclose(r.mi, each[r.k][r.g][1], rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_importance_weights_make_their_inputs_once(spark):
+    """What made the two generations runs once, however often their rows are read."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+    df = spark.range(60).selectExpr("id particle", "double(id % 7) x", "double(id % 3) s", "1.0D weight")
+    df = df.mapInPandas(count, df.schema)
+    out = smc.importance_weights(df, df.where("particle < 30"), {"x": (0.0, 6.0)}, 0.1, spacings=["s"])
+    assert out.count() == 60 and made.value == 120
